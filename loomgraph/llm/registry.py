@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import bpe, linededup, minhash
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_bpe": bpe.op2_bpe,
+    "op8_linededup": linededup.op8_linededup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_linededup": linededup.SQL,
+}
