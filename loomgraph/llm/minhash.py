@@ -13,8 +13,8 @@ from .components import components
 from .shared import written
 from .textkit import U64, Words, slices, text_column
 
-COORDINATES = 64
-MATCHES = 36
+COORDINATES = 128
+MATCHES = 70
 SHINGLE = 3
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, minhash
+from . import bpe, linededup, minhash, tokcount
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_bpe": bpe.op2_bpe,
     "op8_linededup": linededup.op8_linededup,
+    "op9_tokcount": tokcount.op9_tokcount,
 }
 
 ORACLE_SQL: dict[str, str] = {
