@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, linededup, minhash, tokcount
+from . import bpe, decontam, linededup, minhash, quality, tokcount
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_bpe": bpe.op2_bpe,
+    "op4_quality": quality.op4_quality,
+    "op5_decontam": decontam.op5_decontam,
     "op8_linededup": linededup.op8_linededup,
     "op9_tokcount": tokcount.op9_tokcount,
 }
