@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from .bpe import TOKENIZER, TOKENIZER_DIR, Encoder
 from .textkit import U64, ragged, slices, text_column
 
-#: Documents fill a block until it holds this many ids; a longer document is a block of its own.
-BLOCK_TOKENS = 32_768
-#: Ids between two updates of frequencies and weights.
-SEGMENT = 4_096
+#: Ids in a block, but for the last of a row.
+BLOCK_TOKENS = 8_192
+#: Documents fill a row until it holds this many ids; a longer document is a row of its own.
+ROW_TOKENS = 65_536
+#: Ids before the first update of frequencies and weights; each further one comes at twice the last place.
+SEGMENT = 512
 #: Ids that one worker gathers before it codes their blocks side by side.
-GROUP_TOKENS = 3_000_000
+GROUP_TOKENS = 3_500_000
 
 STATES = 5  # of a context: never seen, then the outcomes of its last two predictions
 GAIN = 24
@@ -55,8 +57,7 @@ class Mixer:
         n = np.maximum(np.bincount(at, minlength=cells), 1)
         error = (bit.astype(np.int64) << 16) - p
         for i in range(self.weight.shape[2]):
-            total = np.zeros(cells, np.int64)
-            np.add.at(total, at, error * inputs[:, i])
+            total = np.bincount(at, error * inputs[:, i], cells).astype(np.int64)  # exact: below 2**53
             self.weight[:, :, i] += ((total // n) * RATE >> 10).reshape(-1, STATES)
 
 
@@ -65,7 +66,8 @@ class Model:
 
     def __init__(self, blocks: int, size: int) -> None:
         self.size = size
-        self.count = np.zeros((blocks, size), np.int64)
+        self.count = np.zeros((blocks, size), np.int32)
+        self.cum = np.zeros((blocks, size + 1), np.int32)
         self.seen = np.zeros(blocks, np.int64)
         self.hit = np.zeros((3, blocks, STATES), np.int64)  # order 2, order 1, order 1 after a miss
         self.tried = np.zeros((3, blocks, STATES), np.int64)
@@ -74,19 +76,21 @@ class Model:
         self.refresh()
 
     def refresh(self) -> None:
-        self.freq = 1 + GAIN * self.count
-        self.cum = np.zeros((len(self.count), self.size + 1), np.int64)
-        np.cumsum(self.freq, axis=1, out=self.cum[:, 1:])
-        self.total = self.cum[:, -1]
+        for row, count in zip(self.cum, self.count):
+            np.cumsum(count * np.int32(GAIN) + np.int32(1), out=row[1:])
+        self.total = self.cum[:, -1].astype(np.int64)
         self.rate = ((2 * self.hit + 1) << 16) // (2 * self.tried + 2)
 
+    def freq(self, b, ids):
+        return 1 + GAIN * self.count[b, ids].astype(np.int64)
+
     def inputs_first(self, b, s2, s1, agree, p2):
         rank = np.where(s1 == 0, 0, np.where(agree, 1, -1))
-        zero = (self.freq[b, p2] << 16) // self.total[b]
+        zero = (self.freq(b, p2) << 16) // self.total[b]
         return np.stack([_stretch(self.rate[0, b, s2]), rank * _stretch(self.rate[1, b, s1]), _stretch(zero), np.full(len(b), 256)], -1)
 
     def inputs_second(self, b, s1, p1):
-        zero = (self.freq[b, p1] << 16) // self.total[b]
+        zero = (self.freq(b, p1) << 16) // self.total[b]
         return np.stack([_stretch(self.rate[2, b, s1]), _stretch(zero), np.full(len(b), 256)], -1)
 
     def learn(self, b, ids, s2, s1, p2, p1, a, a_in, a_p, a_bit, c, c_in, c_p, c_bit) -> None:
@@ -146,8 +150,12 @@ def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray,
     p2, s2 = _context(ids, (tag << U64(34)) | (two.astype(U64) << U64(17)) | one.astype(U64))
     model = Model(len(sizes), size)
     out = [[], [], [], [], []]
-    for k in range(-(-int(sizes.max()) // SEGMENT)):
-        t = np.flatnonzero((place >= k * SEGMENT) & (place < (k + 1) * SEGMENT)) if len(sizes) > 1 else np.arange(k * SEGMENT, min((k + 1) * SEGMENT, len(ids)))
+    low, high = 0, SEGMENT
+    starts = np.cumsum(sizes) - sizes
+    while low < sizes.max():
+        n = np.clip(sizes - low, 0, high - low)
+        t = np.repeat(starts + low, n) + ragged(n)
+        low, high = high, 2 * high
         b, x, u2, u1, g2, g1 = block[t], ids[t], s2[t], s1[t], p2[t], p1[t]
         a = u2 > 0
         a_in = model.inputs_first(b[a], u2[a], u1[a], g1[a] == g2[a], g2[a])
@@ -161,20 +169,20 @@ def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray,
         c_bit = x[c] == g1[c]
         literal = ~done
         literal[c] &= ~c_bit
-        for mask, step, low, width, total in (
+        for mask, step, from_, width, total in (
             (a, 0, np.where(a_bit, 0, a_p), np.where(a_bit, a_p, 65536 - a_p), np.full(len(a_p), 65536)),
             (c, 1, np.where(c_bit, 0, c_p), np.where(c_bit, c_p, 65536 - c_p), np.full(len(c_p), 65536)),
-            (literal, 2, model.cum[b[literal], x[literal]], model.freq[b[literal], x[literal]], model.total[b[literal]]),
+            (literal, 2, model.cum[b[literal], x[literal]], model.freq(b[literal], x[literal]), model.total[b[literal]]),
         ):
             out[0].append(t[mask] * 3 + step)
-            for o, v in zip(out[1:], (b[mask], low, width, total)):
+            for o, v in zip(out[1:], (b[mask], from_, width, total)):
                 o.append(v)
         model.learn(b, x, u2, u1, g2, g1, a, a_in, a_p, a_bit, c, c_in, c_p, c_bit)
-    at, b, low, width, total = (np.concatenate(o) for o in out)
-    step = np.full(3 * len(ids), -1, np.int64)
-    step[at] = np.arange(len(at))
+    at, b, from_, width, total = (np.concatenate(o) for o in out)
+    step = np.full(3 * len(ids), -1, np.int32)
+    step[at] = np.arange(len(at), dtype=np.int32)
     order = step[step >= 0]
-    return b[order], low[order].astype(U64), width[order].astype(U64), total[order].astype(U64)
+    return b[order], from_[order], width[order], total[order]
 
 
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray, size: int) -> list[bytes]:
@@ -187,13 +195,12 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, size: int) -> list[bytes]:
     rank = np.empty(len(sizes), np.int64)
     rank[order] = np.arange(len(sizes))
     most = int(n.max()) if len(n) else 0
-    at = np.cumsum(n) - n
     cell = ragged(n) * len(sizes) + np.repeat(rank, n)
-    table = np.zeros((3, most * len(sizes)), U64)
+    table = np.ones((3, most * len(sizes)), np.uint32)
     for row, v in zip(table, (low_, width_, total_)):
         row[cell] = v
     lows, widths, totals = table.reshape(3, most, len(sizes))
-    del at, table
+    del table, cell, block, low_, width_, total_
     low = np.zeros(len(sizes), U64)
     span = np.full(len(sizes), 0xFFFFFFFFFFFFFFFF, U64)
     words = np.zeros((len(sizes), most + 3), np.uint32)
@@ -254,7 +261,7 @@ def decode_block(payload: bytes, n: int, size: int) -> np.ndarray:
     zero = np.zeros(1, np.int64)
     while len(ids) < n:
         rows = []
-        for _ in range(min(SEGMENT, n - len(ids))):
+        for _ in range(min(SEGMENT if not ids else len(ids), n - len(ids))):
             one = ids[-1] if ids else size
             two = ids[-2] if len(ids) > 1 else size
             m1, m2 = memory[0].get(one), memory[1].get((two, one))
@@ -277,7 +284,7 @@ def decode_block(payload: bytes, n: int, size: int) -> np.ndarray:
             if x is None:
                 r = span // int(model.total[0])
                 x = int(np.searchsorted(model.cum[0], (code - low) // r, side="right")) - 1
-                take(int(model.cum[0, x]), int(model.freq[0, x]), r)
+                take(int(model.cum[0, x]), int(model.freq(0, x)), r)
             for k, key, m in ((0, one, m1), (1, (two, one), m2)):
                 memory[k][key] = (x, bool(m and m[0] == x), bool(m and m[1]))
             rows.append((x, s2, s1, g2, g1, a, c))
@@ -296,37 +303,42 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, "<i4").tobytes())
 
 
-SCHEMA = "doc_ids array<long>, n_tokens array<int>, crc32 long, payload binary"
+SCHEMA = "doc_ids array<long>, n_tokens array<int>, crc32 array<long>, block_bytes array<int>, payload binary"
 
 
 def pack(docs: list[tuple[int | None, np.ndarray]], size: int) -> pa.RecordBatch:
-    """Blocks of whole documents in order."""
-    blocks: list[list[int]] = [[]]
+    """Rows of whole documents in order, their ids cut into blocks."""
+    rows: list[list[int]] = [[]]
     held = 0
     for i, (_, ids) in enumerate(docs):
-        if blocks[-1] and held + len(ids) > BLOCK_TOKENS:
-            blocks.append([])
+        if rows[-1] and held + len(ids) > ROW_TOKENS:
+            rows.append([])
             held = 0
-        blocks[-1].append(i)
+        rows[-1].append(i)
         held += len(ids)
-    merged = [np.concatenate([docs[i][1] for i in b]) for b in blocks]
-    sizes = np.fromiter(map(len, merged), np.int64, len(merged))
-    full = np.flatnonzero(sizes)
-    payloads = [b""] * len(merged)
-    for j, p in zip(full.tolist(), encode_blocks(np.concatenate(merged), sizes[full], size) if len(full) else []):
-        payloads[j] = p
-    return pa.RecordBatch.from_arrays(
-        [pa.array([[docs[i][0] for i in b] for b in blocks], pa.list_(pa.int64())), pa.array([[len(docs[i][1]) for i in b] for b in blocks], pa.list_(pa.int32())), pa.array([checksum(m) for m in merged], pa.int64()), pa.array(payloads, pa.binary())],
-        ["doc_ids", "n_tokens", "crc32", "payload"],
-    )
-
-
-def unpack(doc_ids: list[int | None], n_tokens: list[int], crc32: int, payload: bytes, size: int) -> list[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of a block; ValueError where the checksum doesn't match."""
-    total = sum(n_tokens)
-    ids = decode_block(payload, total, size) if total else np.zeros(0, np.int32)
-    if checksum(ids) != crc32:
-        raise ValueError("block checksum does not match")
+    merged = [np.concatenate([docs[i][1] for i in r]) for r in rows]
+    cuts = [[m[k : k + BLOCK_TOKENS] for k in range(0, len(m), BLOCK_TOKENS)] for m in merged]
+    blocks = [c for row in cuts for c in row]
+    payloads = iter(encode_blocks(np.concatenate(merged), np.fromiter(map(len, blocks), np.int64, len(blocks)), size) if blocks else [])
+    coded = [[next(payloads) for _ in row] for row in cuts]
+    columns = [
+        [[docs[i][0] for i in r] for r in rows], [[len(docs[i][1]) for i in r] for r in rows], [[checksum(c) for c in row] for row in cuts],
+        [[len(p) for p in row] for row in coded], [b"".join(row) for row in coded],
+    ]
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_ids", "n_tokens", "crc32", "block_bytes", "payload"])
+
+
+def unpack(doc_ids: list[int | None], n_tokens: list[int], crc32: list[int], block_bytes: list[int], payload: bytes, size: int) -> list[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of a row; ValueError where a block's checksum doesn't match."""
+    total, parts, at = sum(n_tokens), [], 0
+    for k, (crc, n) in enumerate(zip(crc32, block_bytes)):
+        ids = decode_block(payload[at : at + n], min(BLOCK_TOKENS, total - k * BLOCK_TOKENS), size)
+        if checksum(ids) != crc:
+            raise ValueError("block checksum does not match")
+        parts.append(ids)
+        at += n
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     ends = np.cumsum(n_tokens).tolist()
     return [(d, ids[e - n : e]) for d, n, e in zip(doc_ids, n_tokens, ends)]
 
@@ -352,10 +364,10 @@ def _pack(path: str):
 
 
 def token_blocks(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_ids, n_tokens, crc32, payload): the token ids of every document in compressed blocks.
+    """(doc_ids, n_tokens, crc32, block_bytes, payload): the token ids of every document in compressed blocks.
 
-    A block holds whole documents, is coded from a model of its own, and can be decoded by itself; ``crc32`` is of its
-    ids as little-endian int32. In a block, the ids that last followed the two and the one id before are tried in turn,
+    A row holds whole documents, its ids cut into blocks. A block is coded from a model of its own and can be decoded
+    by itself; ``crc32`` is of its ids as little-endian int32. In a block, the ids that last followed the two and the one id before are tried in turn,
     each by a bit whose probability mixes all three orders; an id that neither gives is coded by its frequency.
     Null and empty texts have no ids but keep their place; repeated rows and null doc_ids are coded like
     any; other columns are not read; an empty table gives no rows.
@@ -375,7 +387,7 @@ def _unpack(size: int):
 
 def token_ids(blocks: DataFrame, size: int) -> DataFrame:
     """(doc_id, token_ids) of the documents in ``token_blocks``' rows, with ids below ``size``."""
-    return blocks.select("doc_ids", "n_tokens", "crc32", "payload").mapInArrow(_unpack(size), "doc_id long, token_ids array<int>")
+    return blocks.select("doc_ids", "n_tokens", "crc32", "block_bytes", "payload").mapInArrow(_unpack(size), "doc_id long, token_ids array<int>")
 
 
 def op3_tokenblocks(spark, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, linededup, minhash, quality, secretscan, tokcount, warc
+from . import bpe, decontam, linededup, minhash, quality, rangecoder, secretscan, tokcount, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_bpe": bpe.op2_bpe,
+    "op3_tokenblocks": rangecoder.op3_tokenblocks,
     "op4_quality": quality.op4_quality,
     "op5_decontam": decontam.op5_decontam,
     "op6_warc": warc.op6_warc,
