@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontam, linededup, minhash, quality, rangecoder, secretscan, tokcount, warc
+from . import bpe, decontam, linededup, minhash, ngram, quality, rangecoder, secretscan, tokcount, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_decontam": decontam.op5_decontam,
     "op6_warc": warc.op6_warc,
+    "op7_lmscore": ngram.op7_lmscore,
     "op8_linededup": linededup.op8_linededup,
     "op9_tokcount": tokcount.op9_tokcount,
     "op10_secrets": secretscan.op10_secrets,
