@@ -131,27 +131,28 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
     documents match where they agree on ``matches`` coordinates or more; groups are the connected
     components of all matching pairs. Of a document's postings in the global order (rarest first) only the
     first ``coordinates - matches + 1`` can be needed to meet every partner (prefix); longer lists are skipped
-    and only count in the comparison of whole signatures. Documents of equal signature are one posting.
+    and only count in the comparison of whole signatures. Documents of equal signature are one posting, and
+    lists of the same documents (those of a group's common coordinates) are compared once.
 
     Reads doc_id and text alone, so other columns may have any name. A null doc_id is left out; a null
     text, or one without words, matches nothing; rows of one doc_id are one document and never match
     themselves; an empty table gives no rows.
     """
     sigs = docs.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null").mapInArrow(_sign(coordinates, shingle), "doc_id long, sig binary")
-    sigs = written(sigs, "mh-sigs")
-    reps = written(sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n")), "mh-reps")
+    sigs = written(sigs.select("doc_id", F.unhex(F.md5("sig")).alias("same"), "sig"), "mh-sigs")
+    reps = written(sigs.groupBy("same", "sig").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "mh-reps")
     lists = (
         reps.select("rep", "sig").mapInArrow(_post(coordinates), "rep long, key long")
-        .groupBy("key").agg(F.collect_list("rep").alias("reps")).where(F.size("reps") > 1)
-        .select("key", F.size("reps").alias("df"), F.explode("reps").alias("rep"))
+        .groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("reps")).where(F.size("reps") > 1)
+        .select(F.xxhash64("reps").alias("list"), F.size("reps").alias("df"), F.explode("reps").alias("rep"))
     )
-    shared = lists.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("post"))
-    prefix = shared.where(F.size("post") >= matches).select("rep", F.explode(F.expr(f"slice(post, 1, size(post) - {matches - 1})")).alias("p")).select("rep", "p.key")
-    met = prefix.join(reps.select("rep", "sig"), "rep").select("key", "rep", "sig").repartition("key").sortWithinPartitions("key", "rep")
+    shared = lists.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "list"))).alias("post"))
+    prefix = shared.where(F.size("post") >= matches).select("rep", F.explode(F.array_distinct(F.expr(f"slice(post, 1, size(post) - {matches - 1})"))).alias("p")).select("rep", "p.list")
+    met = prefix.join(reps.select("rep", "sig"), "rep").select("list", "rep", "sig").repartition("list").sortWithinPartitions("list", "rep")
     edges = met.mapInArrow(_collide(coordinates, matches), "a long, b long").distinct()
     labels = components(edges)
-    groups = reps.join(labels.withColumnRenamed("v", "rep"), "rep", "left").where("n > 1 or label is not null").select("sig", F.coalesce("label", "rep").alias("group_id"))
-    return sigs.join(groups, "sig").select("doc_id", "group_id").distinct()
+    groups = reps.drop("sig").join(labels.withColumnRenamed("v", "rep"), "rep", "left").where("last > rep or label is not null").select("same", F.coalesce("label", "rep").alias("group_id"))
+    return sigs.select("doc_id", "same").join(groups, "same").select("doc_id", "group_id").distinct()
 
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
