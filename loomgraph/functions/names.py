@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _MANY = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th", "ĳ": "ij", "Ĳ": "IJ"}
 _ONE = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ħ": "h", "Ħ": "H", "ı": "i", "’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-"}
@@ -92,7 +93,7 @@ def singular(word: str) -> str:
     return word[:-1]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _singular_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         known = {v: None if v is None else " ".join(map(singular, v.split())) for v in s.unique()}

@@ -24,8 +24,9 @@ def combined(confidence: Column, mode: str = "product_complement") -> Column:
 
 
 def in_order(seq: Column, value: Column) -> Column:
-    """Values by arrival; ``collect_list`` alone has no order after a shuffle."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(seq.alias("seq"), value.alias("v")))), lambda x: x["v"])
+    """Values by arrival; ``collect_list`` alone has no order after a shuffle. Values needn't be comparable."""
+    pairs = F.collect_list(F.struct(seq.alias("seq"), value.alias("v")))
+    return F.transform(F.array_sort(pairs, lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)), lambda x: x["v"])
 
 
 def canonical_relations(mentions: DataFrame, mode: str = "product_complement") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -19,3 +21,17 @@ def session(app: str = "loomgraph", master: str | None = None, **more: str) -> S
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a local session (tests) gets a temporary one."""
+    option = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if option.isDefined():
+        return option.get()
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+    spark.sparkContext.setCheckpointDir(named)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
