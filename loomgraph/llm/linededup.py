@@ -72,26 +72,89 @@ def split_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return buf, row, number, begin, end - begin
 
 
-def _index(tau: int, least: int):
+def _lines(least: int, emit):
+    """A task over batches of (doc_id, text): ``emit`` gets ids and split lines of ``least`` bytes or more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for first, run_ in slices(text_column(b)):
                 buf, row, number, start, size = split_lines(run_)
                 use = size >= least
-                row, number, start, size = row[use], number[use], start[use], size[use]
+                start, size = start[use], size[use]
                 p = PrefixHash(buf)
-                own, probe = _keys(p, start, size, tau)
-                line = p.span(start, start + size).view(np.int64)
-                arrays = [pa.array(line), pa.array(ids[first + row]), pa.array(number.astype(np.int32))]
-                for k in (own, probe):
-                    offsets = np.arange(0, k.size + 1, k.shape[1], dtype=np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(k.ravel())))
-                yield pa.RecordBatch.from_arrays(arrays, ["h", "doc_id", "line_no", "own", "probe"])
+                yield emit(ids[first + row[use]], number[use], p, start, size, p.span(start, start + size).view(np.int64), state)
 
     return run
 
 
+def _places(ids, number, p, start, size, h, state) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(number.astype(np.int32))], ["h", "doc_id", "line_no"])
+
+
+def _segments(tau: int):
+    """(key, h) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments."""
+
+    def emit(ids, number, p, start, size, h, state) -> pa.RecordBatch:
+        h, at = np.unique(h, return_index=True)
+        seen = state.get("seen", np.zeros(0, np.int64))
+        new = ~np.isin(h, seen, assume_unique=True)
+        h, at = h[new], at[new]
+        state["seen"] = np.concatenate((seen, h))
+        own, probe = _keys(p, start[at], size[at], tau)
+        fits = probe != 0
+        key = np.concatenate(((own | 1).ravel(), (probe & ~1)[fits]))
+        line = np.concatenate((np.repeat(h, own.shape[1]), np.repeat(h, probe.shape[1]).reshape(probe.shape)[fits]))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line)], ["key", "h"])
+
+    return emit
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different lines under one key, one of which has it as its own; rows come in order of key."""
+
+    def pairs(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1)))
+        n = np.diff(np.concatenate((start, [len(key)])))
+        a, b, held = [], [], 0
+        for s, k in zip(start[n > 1].tolist(), n[n > 1].tolist()):
+            here = h[s : s + k]
+            own = np.unique(here[key[s : s + k] & 1 == 1])
+            every = np.unique(here)
+            if len(every) < 2:
+                continue
+            for x in own:
+                other = every[every != x]
+                a.append(np.minimum(x, other))
+                b.append(np.maximum(x, other))
+                held += len(other)
+                if held > 1_000_000:
+                    yield _distinct(a, b)
+                    a, b, held = [], [], 0
+        if a:
+            yield _distinct(a, b)
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        cut = np.searchsorted(now[0], now[0][-1] & ~1)  # the last key may go on in the next batch
+        held = [x[cut:].copy() for x in now]
+        if cut:
+            yield from pairs(now[0][:cut], now[1][:cut])
+    if held is not None:
+        yield from pairs(*held)
+
+
+def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "other"])
+
+
 def within(a: bytes, b: bytes, most: int) -> int:
     """Edit distance of two byte strings by bit vectors over the diagonal band; ``most + 1`` beyond it."""
     if len(a) > len(b):
@@ -169,18 +232,16 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     elsewhere, or where the text first occurs later than some line within ``threshold`` byte edits; the keeper is
     the earliest line, or its nearest such neighbour (ties: the earliest). Identical lines meet by hash. Others meet
     where one's segment, of ``threshold + 1``, is found in the other near its place; every candidate's distance is computed.
+    The texts are read once for the lines and once for their segments, so that segments are never stored with lines.
 
     Reads doc_id and text alone. A null doc_id is left out, a null or empty text has no lines; rows of one
     doc_id with equal lines are one document; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null")
-    raw = source.mapInArrow(_index(threshold, min_bytes), "h long, doc_id long, line_no int, own array<long>, probe array<long>")
-    raw = written(raw, "lines")
-    first = raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.any_value("own").alias("own"), F.any_value("probe").alias("probe"))
-    lines = written(first, "distinct-lines")
-    own = lines.select("h", F.explode("own").alias("key"))
-    probes = lines.select(F.col("h").alias("other"), F.explode(F.concat("own", "probe")).alias("key")).where("key <> 0")
-    met = probes.join(own.hint("shuffle_hash"), "key").where("h <> other").select(F.least("h", "other").alias("h"), F.greatest("h", "other").alias("other")).distinct()
+    raw = written(source.mapInArrow(_lines(min_bytes, _places), "h long, doc_id long, line_no int"), "lines")
+    lines = written(raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    keys = source.mapInArrow(_lines(min_bytes, _segments(threshold)), "key long, h long")
+    met = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_meet, "h long, other long").distinct()
     met = written(met, "line-pairs")
     needed = met.select("h").union(met.select("other")).distinct().join(lines.select("h", "first"), "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
     wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("w"))
