@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import without
 from .textkit import U64, HashTable, Words, ragged, slices, text_column
 
 SHINGLE = 2
@@ -205,8 +206,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
     """``docs`` without those in which ``contaminated`` finds an item; rows without a doc_id stay."""
-    bad = contaminated(docs, benchmark, **kw).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_leak"), "left_anti")
+    return without(docs, contaminated(docs, benchmark, **kw).select("doc_id").distinct())
 
 
 def op5_decontam(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -272,12 +273,16 @@ def without_repeats(docs: DataFrame, **kw) -> DataFrame:
     n_chars, where it is a column, is counted anew for the documents that lost lines. Rows without a doc_id and
     texts that lose nothing stay as they are, empty ones too.
     """
-    gone = repeated_lines(docs, **kw).groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_set("line_no").alias("_gone_lines"))
-    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone_doc"), "left")
-    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col("_gone_lines"), i)), "\n")
-    joined = joined.withColumn("_left", F.when(F.col("_gone_lines").isNull(), docs["text"]).otherwise(left))
-    kept = joined.where(F.col("_gone_lines").isNull() | (F.trim("_left") != ""))
-    out = {"text": F.col("_left"), "n_chars": F.when(F.col("_gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("_left")}
+    doc, lines, rest = (f"_{uuid.uuid4().hex}" for _ in range(3))
+    gone = repeated_lines(docs, **kw).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lines))
+    joined = docs.join(gone, docs["doc_id"].cast("long") == F.col(doc), "left")
+    left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
+    untouched = F.col(lines).isNull()
+    joined = joined.withColumn(rest, F.when(untouched, docs["text"]).otherwise(left))
+    kept = joined.where(untouched | (F.trim(rest) != ""))
+    out = {"text": F.col(rest)}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(untouched, F.col("n_chars")).otherwise(F.length(rest).cast("long"))
     return kept.select(*[out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
+from .shared import without, written
 from .textkit import U64, Words, slices, text_column
 
 COORDINATES = 128
@@ -157,8 +157,7 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, matches: in
 
 def deduplicated(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with one document, the one of the least doc_id, of each near-duplicate group; rows without a group stay."""
-    drop = near_duplicates(docs, **kw).where("doc_id <> group_id").select(F.col("doc_id").alias("_drop"))
-    return docs.join(drop, docs["doc_id"].cast("long") == F.col("_drop"), "left_anti")
+    return without(docs, near_duplicates(docs, **kw).where("doc_id <> group_id").select("doc_id"))
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

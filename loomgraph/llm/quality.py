@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import without, written
 from .textkit import U64, Words, slices, text_column
 
 #: The most labelled rows that training reads; a larger table is cut to the least hashes of doc_id.
@@ -243,8 +243,8 @@ def filtered(docs: DataFrame, labels: DataFrame, train_on: DataFrame | None = No
     """
     rules = train(docs if train_on is None else train_on, labels)
     limit, toxic = kw.get("least", 0.5), kw.get("most_toxic", 0.5)
-    bad = scored(docs.where("doc_id is not null"), rules).where(~((F.col("quality") >= limit) & (F.col("toxic") < toxic))).select(F.col("doc_id").alias("_reject")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_reject"), "left_anti")
+    bad = scored(docs.where("doc_id is not null"), rules).where(~((F.col("quality") >= limit) & (F.col("toxic") < toxic))).select("doc_id").distinct()
+    return without(docs, bad)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

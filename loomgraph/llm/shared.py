@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
@@ -30,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found if "://" in found or found.startswith("file:") else "file://" + found
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose doc_id is among the one column of ``ids``; null ids stay. Column names can't clash."""
+    name = f"_{uuid.uuid4().hex}"
+    return docs.join(ids.toDF(name), docs["doc_id"].cast("long") == F.col(name), "left_anti")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
