@@ -21,7 +21,7 @@ ROW_TOKENS = 65_536
 #: Ids before the first update of frequencies and weights; each further one comes at twice the last place.
 SEGMENT = 512
 #: Ids that one worker gathers before it codes their blocks side by side.
-GROUP_TOKENS = 3_500_000
+GROUP_TOKENS = 2_000_000
 
 STATES = 5  # of a context: never seen, then the outcomes of its last two predictions
 GAIN = 24
@@ -128,7 +128,7 @@ def _context(ids: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     guess = np.where(known, ids[last], 0)
     right = known & (guess == ids)
     older = np.where(known, last[last], -1)
-    return guess, np.where(known, 1 + 2 * right[last] + (right[older] & (older >= 0)), 0)
+    return guess.astype(np.int32), np.where(known, 1 + 2 * right[last] + (right[older] & (older >= 0)), 0).astype(np.int8)
 
 
 def _before_long(key: np.ndarray) -> np.ndarray:
@@ -148,8 +148,9 @@ def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray,
     tag = block.astype(U64)
     p1, s1 = _context(ids, (tag << U64(17)) | one.astype(U64))
     p2, s2 = _context(ids, (tag << U64(34)) | (two.astype(U64) << U64(17)) | one.astype(U64))
+    del tag, one, two, place
     model = Model(len(sizes), size)
-    out = [[], [], [], [], []]
+    out = [[], [], [], []]
     low, high = 0, SEGMENT
     starts = np.cumsum(sizes) - sizes
     while low < sizes.max():
@@ -174,15 +175,16 @@ def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray,
             (c, 1, np.where(c_bit, 0, c_p), np.where(c_bit, c_p, 65536 - c_p), np.full(len(c_p), 65536)),
             (literal, 2, model.cum[b[literal], x[literal]], model.freq(b[literal], x[literal]), model.total[b[literal]]),
         ):
-            out[0].append(t[mask] * 3 + step)
-            for o, v in zip(out[1:], (b[mask], from_, width, total)):
-                o.append(v)
+            out[0].append((t[mask] * 3 + step).astype(np.int32))
+            for o, v in zip(out[1:], (from_, width, total)):
+                o.append(v.astype(np.uint32))
         model.learn(b, x, u2, u1, g2, g1, a, a_in, a_p, a_bit, c, c_in, c_p, c_bit)
-    at, b, from_, width, total = (np.concatenate(o) for o in out)
     step = np.full(3 * len(ids), -1, np.int32)
+    at = np.concatenate(out[0])
     step[at] = np.arange(len(at), dtype=np.int32)
-    order = step[step >= 0]
-    return b[order], from_[order], width[order], total[order]
+    used = np.flatnonzero(step >= 0)
+    order = step[used]
+    return block[used // 3], *(np.concatenate(o)[order] for o in out[1:])
 
 
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray, size: int) -> list[bytes]:
