@@ -21,7 +21,7 @@ ROW_TOKENS = 65_536
 #: Ids before the first update of frequencies and weights; each further one comes at twice the last place.
 SEGMENT = 512
 #: Ids that one worker gathers before it codes their blocks side by side.
-GROUP_TOKENS = 2_000_000
+GROUP_TOKENS = 900_000
 
 STATES = 5  # of a context: never seen, then the outcomes of its last two predictions
 GAIN = 24
