@@ -105,7 +105,7 @@ def _run(o: argparse.Namespace, spark) -> int:
     else:
         g = tables.tables(spark, f"{out}/graph")
         if o.command == "search":
-            found = views.search(g, o.query, o.type).join(views.substantive_degrees(g), "id").orderBy("name", "id").select("id", "name", "entity_type", "confidence", "degree")
+            found = views.search(g, o.query, o.type).join(views.substantive_degrees(g), "id").orderBy("name", "id").select(*"id name entity_type confidence degree".split())
             rows = [r.asDict() for r in found.collect()]
             if o.relations:
                 for r in rows:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-YEAR = r"\b((?:19|20)\d{2})\b"
-FULL_DATE = r"\b((?:19|20)\d{2}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/(?:19|20)\d{2}|\w+ \d{1,2},? (?:19|20)\d{2})\b"
-DATE_ATTRIBUTES = ["date", "event_date", "year", "start_date", "end_date"]
+_YEAR = r"(?:20|19)\d\d"
+_DAY = r"\d\d?"
+YEAR = rf"\b({_YEAR})\b"
+FULL_DATE = rf"\b({_YEAR}-\d\d-\d\d|{_DAY}/{_DAY}/{_YEAR}|\w+ {_DAY},? {_YEAR})\b"
+DATE_ATTRIBUTES = "date event_date year start_date end_date".split()
 #: Filler that a description should not hold; matched whatever the case.
 FILLER = [
     *(rf"\b{w}ing\b" for w in ("highlight", "indicat", "suggest", "underscor")),
@@ -19,10 +21,10 @@ FILLER = [
 
 def ocr_normalized(text: Column) -> Column:
     """Words joined over a hyphen at a line's end, runs of blank lines cut to one, lines joined before a small letter."""
-    text = F.regexp_replace(text, r"(\w)-\n(\w)", "$1$2")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    text = F.regexp_replace(text, r"(?<!\n)\n([a-z])", " $1")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    steps = {r"(\w)-\n(\w)": "$1$2", r"\n\n\n+": "\n\n", r"(?<!\n)\n(?=[a-z])": " ", r"^\s+|\s+$": ""}
+    for pattern, put in steps.items():
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
 def pages_text(pages: Column) -> Column:

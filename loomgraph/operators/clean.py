@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.relations import active_form, synonym
 from ..schemas import DOCUMENT, FALLBACK_RELATION, MENTIONED_IN, Graph
 
+#: Source types, target types, whether the relation has no direction.
+Ends = tuple[list[str], list[str], bool]
 TRANSITIVE = ("LOCATED_IN",)
 
 
@@ -72,7 +74,7 @@ def normalized_types(edges: DataFrame, valid: list[str]) -> DataFrame:
     return edges.withColumn("relation_type", F.when((kind == "") | (kind == MENTIONED_IN) | known, kind).otherwise(other))
 
 
-def directed(g: Graph, rules: dict[str, tuple[list[str], list[str], bool]]) -> Graph:
+def directed(g: Graph, rules: dict[str, Ends]) -> Graph:
     """Edges turned round where only that fits the types their relation allows at its ends.
 
     ``rules``: relation type to (source types, target types, symmetric). Edges that fit neither way stay.

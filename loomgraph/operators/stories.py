@@ -128,7 +128,7 @@ def report(g: Graph, communities: DataFrame | None = None, descriptions: DataFra
     top, rel = overview(g)
     names = {r.id: r.name for r in top.collect()}
     out = ["# Report", "", "## Overview", ""]
-    out += [f"- {r.source_name} {r.relation_type.lower().replace('_', ' ')} {r.target_name}" for r in rel.collect()]
+    out += [f"- {r.source_name} {' '.join(r.relation_type.lower().split('_'))} {r.target_name}" for r in rel.collect()]
     paths = chains(g)
     if paths:
         ids = sorted({v for p in paths for v in p})

@@ -175,7 +175,7 @@ def run_query(spark: SparkSession, output: str, who: str, depth: int = 1) -> dic
     rows = lambda df: [json.loads(r.j) for r in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]
     return {
         "match": me.asDict(), "other_matches": [r.asDict() for r in found[1:]], "topology": place[0].asDict() if place else None,
-        "subgraph": {"nodes": rows(sub.nodes.drop("context")), "links": rows(sub.edges.select("source", "target", "relation_type", "confidence", "evidence", "support_count", "support_documents"))},
+        "subgraph": {"nodes": rows(sub.nodes.drop("context")), "links": rows(sub.edges.select(*exports.EDGE_COLUMNS))},
     }
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 import yaml
 
 PREFIX = "LOOM_"
-OCR_BACKENDS = ("tesseract", "easyocr", "paddleocr", "gcv")
+OCR_BACKENDS = tuple("tesseract easyocr paddleocr gcv".split())
 EXTRACTORS = ("rich", "legacy")
 #: Providers that run here and need no key.
 KEYLESS = ("rules", "replay", "local", "ollama")

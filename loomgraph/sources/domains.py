@@ -8,6 +8,7 @@ from functools import lru_cache
 
 import yaml
 
+from ..operators.clean import Ends
 from ..schemas import FALLBACK_RELATION
 
 
@@ -21,32 +22,32 @@ class EntityType:
 
 @dataclass
 class RelationType:
-    description: str = ""
     source_types: list[str] = field(default_factory=list)
     target_types: list[str] = field(default_factory=list)
+    review_required: bool = False
     symmetric: bool = False
+    description: str = ""
     extraction_hints: list[str] = field(default_factory=list)
-    review_required: bool = False
 
 
 @dataclass
 class Domain:
     name: str
-    version: str = "1.0.0"
-    description: str = ""
     entity_types: dict[str, EntityType] = field(default_factory=dict)
     relation_types: dict[str, RelationType] = field(default_factory=dict)
     system_context: str | None = None
     fallback_relation: str | None = None
     schema_free: bool = False
+    description: str = ""
+    version: str = "1.0.0"
 
-    def rules(self) -> dict[str, tuple[list[str], list[str], bool]]:
+    def rules(self) -> dict[str, Ends]:
         return {k: (r.source_types, r.target_types, r.symmetric) for k, r in self.relation_types.items()}
 
     def review_types(self) -> tuple[str, ...]:
         return tuple(k for k, r in self.relation_types.items() if r.review_required)
 
-    def closed(self) -> dict[str, tuple[list[str], str | None]]:
+    def closed(self) -> dict[str, tuple]:
         """Entity types that allow only listed names, and the type that others get."""
         return {k: (e.canonical_names, e.canonical_fallback_type) for k, e in self.entity_types.items() if e.canonical_names}
 

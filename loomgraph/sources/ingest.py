@@ -7,6 +7,7 @@ import email
 import email.policy
 import io
 import json
+import mimetypes
 import os
 import zipfile
 from collections.abc import Callable, Iterator
@@ -18,10 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-TEXT = {".txt", ".md", ".rst", ".log", ".tex", ".org", ".bib"}
-LEGACY = {".pdf", ".docx", ".txt", ".md", ".html", ".htm"}
-RICH = LEGACY | TEXT | {".csv", ".tsv", ".json", ".jsonl", ".xml", ".yaml", ".yml", ".pptx", ".xlsx", ".odt", ".epub", ".eml", ".zip", ".svg"}
-MIME = {".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".txt": "text/plain", ".md": "text/markdown", ".html": "text/html", ".htm": "text/html"}
+TEXT = set(".txt .md .rst .log .tex .org .bib".split())
+LEGACY = set(".docx .htm .html .md .pdf .txt".split())
+RICH = LEGACY | TEXT | set(".csv .eml .epub .json .jsonl .odt .pptx .svg .tsv .xlsx .xml .yaml .yml .zip".split())
+MIME = {x: mimetypes.types_map.get(x) or "text/markdown" for x in LEGACY}
 MIN_PAGE_CHARS = 15
 MIN_OCR_CHARS = 50
 
