@@ -11,12 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textkit import U64, PrefixHash, mix, slices, text_column
+from .textkit import _WORD, U64, PrefixHash, mix, ragged, slices, text_column
 
 _ALL = (1 << 64) - 1
 
 THRESHOLD = 2
 MIN_BYTES = 40
+#: Of this many words of the longer line, one may be edited.
+WORDS_AN_EDIT = 10
+RUN = 3
+#: A part of the documents by which frequent word runs are known, how often they stand in it, and how many are kept; these only set an order.
+SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 200_000
 
 
 def _cuts(length: np.ndarray, segments: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +55,76 @@ def _keys(p: PrefixHash, start: np.ndarray, size: np.ndarray, tau: int) -> tuple
     return np.stack(own, 1).view(np.int64), np.stack(probe, 1).view(np.int64)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of the words of a buffer, ASCII capitals lowered; a newline ends a word."""
+    low = _LOWER[buf]
+    inside = np.concatenate(([False], _WORD[low], [False]))
+    change = np.flatnonzero(inside[1:] != inside[:-1])
+    return change[0::2], PrefixHash(low).span(change[0::2], change[1::2])
+
+
+def _word_runs(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each line, line of each run of RUN neighbouring words, its place in words, its hash)."""
+    at, word = _words(buf)
+    first, last = np.searchsorted(at, start), np.searchsorted(at, start + size)
+    runs = np.maximum(last - first - RUN + 1, 0)
+    line, place = np.repeat(np.arange(len(start)), runs), ragged(runs)
+    i = np.repeat(first, runs) + place
+    run = np.zeros(len(i), U64)
+    for j in range(RUN):
+        run = run * U64(0x9E3779B97F4A7C15) + word[i + j]
+    return last - first, line, place, mix(run)
+
+
+def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, key, words << 32 | place): the rarest word runs of each line, so many that two lines within the allowed word edits share one.
+
+    A word edit changes RUN runs of either line at most. Of the first ``RUN * edits + 1`` in one order of all runs
+    (with all that equal the last), both lines thus hold the first run that the edits leave alone (prefix filter),
+    at places that differ by the edits at most. A line of n words may have a longer partner, with n // 9 edits.
+    """
+    n, line, place, run = _word_runs(buf, start, size)
+    edits = n // (WORDS_AN_EDIT - 1)
+    use = edits[line] > 0
+    line, place, run = line[use], place[use], run[use]
+    known, count = frequent
+    weight = np.zeros(len(line), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, run), len(known) - 1)
+        weight = np.where(known[at] == run, count[at], 0)
+    order = np.lexsort((run, weight, line))
+    line, place, run = line[order], place[order], run[order]
+    every = np.arange(len(line))
+    rank = every - np.maximum.accumulate(np.where(np.concatenate(([True], line[1:] != line[:-1]))[: len(line)], every, 0))
+    new = np.concatenate(([True], (line[1:] != line[:-1]) | (run[1:] != run[:-1])))[: len(line)]
+    rank = rank[np.maximum.accumulate(np.where(new, every, 0))]  # equal runs go together
+    first = rank <= RUN * edits[line]
+    line = line[first]
+    return line, mix(run[first]).view(np.int64), n[line] << 32 | place[first]
+
+
+def frequent_runs(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(word run, uses) of those frequent in a sample of the documents, by hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, run_ in slices(text_column(b)):
+                buf, _, _, start, size = split_lines(run_)
+                run, n = np.unique(_word_runs(buf, start, size)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], ["run", "n"])
+
+    sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    found = sample.mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = found.orderBy(F.desc("n"), "run").limit(MOST_FREQUENT).toArrow()
+    run, n = rows.column(0).to_numpy().view(U64), rows.column(1).to_numpy()
+    order = np.argsort(run)
+    return run[order], n[order]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -94,8 +169,12 @@ def _places(ids, number, p, start, size, h, state) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(number.astype(np.int32))], ["h", "doc_id", "line_no"])
 
 
-def _segments(tau: int):
-    """(key, h) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments."""
+def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
+    """(key, h, place) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments.
+
+    Lines under ``least`` bytes have no segments. With ``frequent``, keys of word runs come too, all of them own and
+    with their place; that of segments is 0.
+    """
 
     def emit(ids, number, p, start, size, h, state) -> pa.RecordBatch:
         h, at = np.unique(h, return_index=True)
@@ -103,24 +182,49 @@ def _segments(tau: int):
         new = ~np.isin(h, seen, assume_unique=True)
         h, at = h[new], at[new]
         state["seen"] = np.concatenate((seen, h))
-        own, probe = _keys(p, start[at], size[at], tau)
+        long = size[at] >= least
+        own, probe = _keys(p, start[at[long]], size[at[long]], tau)
         fits = probe != 0
-        key = np.concatenate(((own | 1).ravel(), (probe & ~1)[fits]))
-        line = np.concatenate((np.repeat(h, own.shape[1]), np.repeat(h, probe.shape[1]).reshape(probe.shape)[fits]))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line)], ["key", "h"])
+        key = [(own | 1).ravel(), (probe & ~1)[fits]]
+        line = [np.repeat(h[long], own.shape[1]), np.repeat(h[long], probe.shape[1]).reshape(probe.shape)[fits]]
+        place = [np.zeros(len(key[0]) + len(key[1]), np.int64)]
+        if frequent is not None:
+            whose, word_key, word_place = _word_keys(p.units, start[at], size[at], frequent)
+            key.append(word_key | 1)
+            line.append(h[whose])
+            place.append(word_place)
+        key, line, place = (np.concatenate(x) for x in (key, line, place))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(place)], ["key", "h", "place"])
 
     return emit
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different lines under one key, one of which has it as its own; rows come in order of key."""
+    """Pairs of different lines under one key, one of which has it as its own; rows come in order of key.
+
+    Where a key is a word run, the words before it and those after it may differ by the allowed edits in all.
+    """
 
-    def pairs(key: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, h: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1)))
         n = np.diff(np.concatenate((start, [len(key)])))
         a, b, held = [], [], 0
         for s, k in zip(start[n > 1].tolist(), n[n > 1].tolist()):
-            here = h[s : s + k]
+            here, at = h[s : s + k], place[s : s + k]
+            if at[0]:
+                words, before = at >> 32, at & 0xFFFFFFFF
+                after = words - before
+                for i in range(1, k):
+                    apart = np.abs(before[:i] - before[i]) + np.abs(after[:i] - after[i])
+                    other = here[:i][(apart <= np.maximum(words[:i], words[i]) // WORDS_AN_EDIT) & (here[:i] != here[i])]
+                    if len(other):
+                        a.append(np.minimum(here[i], other))
+                        b.append(np.maximum(here[i], other))
+                        held += len(other)
+                    if held > 1_000_000:
+                        yield _distinct(a, b)
+                        a, b, held = [], [], 0
+                continue
             own = np.unique(here[key[s : s + k] & 1 == 1])
             every = np.unique(here)
             if len(every) < 2:
@@ -140,13 +244,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(0).to_numpy(), batch.column(1).to_numpy()]
+        now = [batch.column(i).to_numpy() for i in range(3)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         cut = np.searchsorted(now[0], now[0][-1] & ~1)  # the last key may go on in the next batch
         held = [x[cut:].copy() for x in now]
         if cut:
-            yield from pairs(now[0][:cut], now[1][:cut])
+            yield from pairs(*(x[:cut] for x in now))
     if held is not None:
         yield from pairs(*held)
 
@@ -210,12 +314,55 @@ def _small(a: bytes, b: bytes, most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def _verify(tau: int):
+def sequence_edits(a: list, b: list) -> int:
+    """Edit distance of two lists by bit vectors as long as the first."""
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not a or not b:
+        return len(a) + len(b)
+    where: dict = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    every, edge = (1 << len(a)) - 1, len(a) - 1
+    plus, minus, distance = every, 0, len(a)
+    for c in b:
+        match = where.get(c, 0)
+        down = match | minus
+        diagonal = (((match & plus) + plus) ^ plus) | match
+        right, left = minus | (every & ~(diagonal | plus)), plus & diagonal
+        distance += (right >> edge & 1) - (left >> edge & 1)
+        right, left = (right << 1 | 1) & every, (left << 1) & every
+        plus, minus = left | (every & ~(down | right)), right & down
+    return distance
+
+
+def near_by_words(a: bytes, b: bytes) -> int | None:
+    """Word edits between two lines; None where they are more than one in ``WORDS_AN_EDIT`` words of the longer."""
+    x, y = (_words(np.frombuffer(v, np.uint8))[1] for v in (a, b))
+    most = max(len(x), len(y)) // WORDS_AN_EDIT
+    if not most or abs(len(x) - len(y)) > most:
+        return None
+    d = sequence_edits(x.tolist(), y.tolist())
+    return d if d <= most else None
+
+
+def _verify(tau: int, least: int, words: bool):
+    """Pairs within ``tau`` byte edits where both have ``least`` bytes; others near by words are ``tau`` and their word edits (1 at least) apart."""
+
+    def distance(x: bytes, y: bytes) -> int:
+        d = within(x, y, tau) if min(len(x), len(y)) >= least else tau + 1
+        if d > tau and words:
+            w = near_by_words(x, y)
+            return -1 if w is None else tau + max(w, 1)
+        return d if d <= tau else -1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs = zip(b.column(1).to_pylist(), b.column(3).to_pylist())
-            d = np.fromiter((within(x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass"), tau) for x, y in pairs), np.int32, b.num_rows)
-            keep = pa.array(d <= tau)
+            d = np.fromiter((distance(x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass")) for x, y in pairs), np.int32, b.num_rows)
+            keep = pa.array(d >= 0)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(2).filter(keep), pa.array(d).filter(keep)], ["h", "to", "distance"])
 
     return run
@@ -225,7 +372,7 @@ def _trimmed(line: str) -> F.Column:
     return F.expr(rf"regexp_replace({line}, '^[ \\t\\x0b\\f\\r]+|[ \\t\\x0b\\f\\r]+$', '')")
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, whole: bool = False) -> DataFrame:
     """(doc_id, line_no, keeper_doc_id, keeper_line_no, distance) of every line that repeats an earlier one.
 
     Lines end at a newline and count from 0; blanks at their ends don't count, and those under ``min_bytes``
@@ -235,13 +382,18 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     where one's segment, of ``threshold + 1``, is found in the other near its place; every candidate's distance is computed.
     The texts are read once for the lines and once for their segments, so that segments are never stored with lines.
 
+    With ``whole``, beyond what the SQL has, one word in ``WORDS_AN_EDIT`` of the longer line may be edited; ``distance``
+    is then ``threshold`` and the word edits.
+
     Reads doc_id and text alone. A null doc_id is left out, a null or empty text has no lines; rows of one
     doc_id with equal lines are one document; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null")
-    raw = written(source.mapInArrow(_lines(min_bytes, _places), "h long, doc_id long, line_no int"), "lines")
+    least = min_bytes
+    frequent = frequent_runs(source) if whole else None
+    raw = written(source.mapInArrow(_lines(least, _places), "h long, doc_id long, line_no int"), "lines")
     lines = written(raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    keys = source.mapInArrow(_lines(min_bytes, _segments(threshold)), "key long, h long")
+    keys = source.mapInArrow(_lines(least, _segments(threshold, min_bytes, frequent)), "key long, h long, place long")
     met = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_meet, "h long, other long").distinct()
     met = written(met, "line-pairs")
     needed = met.select("h").union(met.select("other")).distinct().join(lines.select("h", "first"), "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
@@ -252,7 +404,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     )
     texts = written(texts, "line-texts")
     pairs = met.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other").select("h", "line", "other", "other_line")
-    near = pairs.mapInArrow(_verify(threshold), "h long, to long, distance int")
+    near = pairs.mapInArrow(_verify(threshold, min_bytes, whole), "h long, to long, distance int")
     both = near.union(near.select("to", "h", "distance"))
     firsts = lines.select("h", "first")
     ranked = both.join(firsts, "h").join(firsts.select(F.col("h").alias("to"), F.col("first").alias("keeper")), "to").where("keeper < first")
@@ -268,13 +420,13 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
 
 
 def without_repeats(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the lines that ``repeated_lines`` names; a document left without any ink goes.
+    """``docs`` without the lines that ``repeated_lines`` names, those near by words too; a document left without any ink goes.
 
     n_chars, where it is a column, is counted anew for the documents that lost lines. Rows without a doc_id and
     texts that lose nothing stay as they are, empty ones too.
     """
     doc, lines, rest = (f"_{uuid.uuid4().hex}" for _ in range(3))
-    gone = repeated_lines(docs, **kw).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lines))
+    gone = repeated_lines(docs, **{"whole": True} | kw).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lines))
     joined = docs.join(gone, docs["doc_id"].cast("long") == F.col(doc), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
     untouched = F.col(lines).isNull()

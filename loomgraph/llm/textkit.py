@@ -46,6 +46,7 @@ class PrefixHash:
     """Hash of any span of a buffer in constant time (polynomial prefix sums modulo 2**64)."""
 
     def __init__(self, units: np.ndarray) -> None:
+        self.units = units
         up, self.down = _powers(len(units) + 1)
         self.sums = np.zeros(len(units) + 1, U64)
         np.cumsum((units.astype(U64) + U64(1)) * up[:-1], out=self.sums[1:])

@@ -367,6 +367,38 @@ def test_lines_odd_rows(spark):
     assert linededup.repeated_lines(empty(spark)).count() == 0 and linededup.without_repeats(empty(spark)).count() == 0
 
 
+def word_edits(a, b):
+    return edit(a.split(), b.split())
+
+
+def test_word_edits_equal_brute_force():
+    r = random.Random(21)
+    for _ in range(500):
+        a = [r.randint(0, 4) for _ in range(r.randint(0, 30))]
+        b = [x for x in a if r.random() > 0.1] + [r.randint(0, 4) for _ in range(r.randint(0, 4))]
+        assert linededup.sequence_edits(a, b) == edit(a, b)
+
+
+def test_lines_near_by_words_equal_all_pairs(spark):
+    r = random.Random(22)
+    lines = [prose(r, n) for n in (10, 12, 19, 20, 30, 45, 80, 300)] + ["one two three " * 12]
+    docs = [(0, "\n".join(lines))]
+    for d in range(1, 60):
+        w = r.choice(lines).split()
+        for _ in range(r.randint(0, 6)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = r.choice([[], ["replacement"], ["áccented", "two"]])
+        docs.append((d, " ".join(w)))
+    every = [(d, i, x) for d, t in docs for i, x in enumerate(t.split("\n"))]
+    size = lambda x: len(x.split())
+    want = {
+        (d, i) for k, (d, i, x) in enumerate(every)
+        if any(x == y or edit(x.encode(), y.encode()) <= 2 or word_edits(x, y) <= max(size(x), size(y)) // 10 for _, _, y in every[:k])
+    }
+    got = {(x.doc_id, x.line_no) for x in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"), whole=True).collect()}
+    assert got == want and len(want) > 10
+
+
 # -- 9
 
 
