@@ -382,14 +382,14 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     where one's segment, of ``threshold + 1``, is found in the other near its place; every candidate's distance is computed.
     The texts are read once for the lines and once for their segments, so that segments are never stored with lines.
 
-    With ``whole``, beyond what the SQL has, one word in ``WORDS_AN_EDIT`` of the longer line may be edited; ``distance``
-    is then ``threshold`` and the word edits.
+    With ``whole``, beyond what the SQL has, lines of any length with ink repeat where they are equal, and one word in
+    ``WORDS_AN_EDIT`` of the longer line may be edited; ``distance`` is then ``threshold`` and the word edits.
 
     Reads doc_id and text alone. A null doc_id is left out, a null or empty text has no lines; rows of one
     doc_id with equal lines are one document; an empty table gives no rows.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null")
-    least = min_bytes
+    least = 1 if whole else min_bytes
     frequent = frequent_runs(source) if whole else None
     raw = written(source.mapInArrow(_lines(least, _places), "h long, doc_id long, line_no int"), "lines")
     lines = written(raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "distinct-lines")
@@ -420,7 +420,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
 
 
 def without_repeats(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the lines that ``repeated_lines`` names, those near by words too; a document left without any ink goes.
+    """``docs`` without the lines that ``repeated_lines`` names, of all lengths and those near by words too; a document left without any ink goes.
 
     n_chars, where it is a column, is counted anew for the documents that lost lines. Rows without a doc_id and
     texts that lose nothing stay as they are, empty ones too.

@@ -399,6 +399,14 @@ def test_lines_near_by_words_equal_all_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def test_short_lines_repeat_exactly(spark):
+    text = "All rights reserved.\n  \n*\na b c d e f g h i j"
+    docs = spark.createDataFrame([(1, text), (2, " All rights reserved. \nAll rights preserved.\n\n*\na b c d e f g h i k"), (3, "*")], "doc_id long, text string")
+    got = sorted(map(tuple, linededup.repeated_lines(docs, whole=True).collect()))
+    assert got == [(2, 0, 1, 0, 0), (2, 3, 1, 2, 0), (2, 4, 1, 3, 3), (3, 0, 1, 2, 0)]
+    assert sorted(map(tuple, linededup.without_repeats(docs).collect())) == [(1, text), (2, "All rights preserved.\n")]
+
+
 # -- 9
 
 
