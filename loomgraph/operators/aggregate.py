@@ -128,7 +128,8 @@ def near_names(names: DataFrame, threshold: float = 0.95) -> DataFrame:
     Alike: 1 - levenshtein / longer length reaches ``threshold`` (own measure in place of an embedding). Names are
     compared where they share type and one of the blocks into which the allowed edits can't reach all.
     """
-    edits = "cast(floor((1 - {0}) * length(norm)) as int)".format(threshold)
+    # the edits allowed follow the longer name; the longest that can be alike has length / threshold characters
+    edits = "cast(floor((1 - {0}) * floor(length(norm) / {0})) as int)".format(threshold)
     n = names.select("entity_type", "name").distinct().withColumn("norm", dedup_key(F.col("name"))).where("norm <> ''")
     n = n.withColumn("k", F.expr(edits) + 1)
     piece = F.expr("transform(sequence(0, k - 1), i -> substring(norm, cast(i * length(norm) / k as int) + 1, cast((i + 1) * length(norm) / k as int) - cast(i * length(norm) / k as int)))")

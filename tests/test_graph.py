@@ -190,3 +190,8 @@ def test_stories(spark):
         .otherwise(F.create_map().cast("map<string,string>"))))
     assert [(r.date, r.name) for r in stories.timeline(dated).collect()] == [("1999", "E"), ("2020-01-02", "A")]
     assert "## Overview" in stories.report(dated)
+
+
+def test_near_names_where_the_longer_allows_more_edits(spark):
+    names = spark.createDataFrame([("T", "acdefghijabcdefghij"), ("T", "abcdefghijabcdefghij")], "entity_type string, name string")
+    assert [tuple(x) for x in aggregate.near_names(names).collect()] == [("T", "acdefghijabcdefghij", "abcdefghijabcdefghij")]
