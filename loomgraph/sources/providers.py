@@ -105,8 +105,8 @@ class Rules:
             names = list(dict.fromkeys(m.group() for m in _NAME.finditer(sentence) if m.start() or " " in m.group()))
             for n in names:
                 kind = "ORGANIZATION" if _ORG.search(n) else "PERSON" if " " in n else "CONCEPT"
-                entities.setdefault(n, {"name": n, "entity_type": kind, "confidence": 0.6, "context": sentence.strip()[:300]})
-            relations += [{"relation_type": "ASSOCIATED_WITH", "source_entity": a, "target_entity": b, "confidence": 0.5, "evidence": sentence.strip()[:300]} for a, b in zip(names, names[1:])]
+                entities.setdefault(n, {"name": n, "entity_type": kind, "confidence": 0.6, "context": sentence.strip()})
+            relations += [{"relation_type": "ASSOCIATED_WITH", "source_entity": a, "target_entity": b, "confidence": 0.5, "evidence": sentence.strip()} for a, b in zip(names, names[1:])]
         return json.dumps({"entities": list(entities.values()), "relations": relations})
 
 

@@ -195,3 +195,13 @@ def test_stories(spark):
 def test_near_names_where_the_longer_allows_more_edits(spark):
     names = spark.createDataFrame([("T", "acdefghijabcdefghij"), ("T", "abcdefghijabcdefghij")], "entity_type string, name string")
     assert [tuple(x) for x in aggregate.near_names(names).collect()] == [("T", "acdefghijabcdefghij", "abcdefghijabcdefghij")]
+
+
+def test_rules_keep_the_whole_sentence():
+    import json
+
+    from loomgraph.sources.providers import Rules
+
+    sentence = "There " + "and so on " * 40 + "Anna Smith met Robert Jones on 2024-05-06."
+    found = json.loads(Rules().answer("x\nTEXT:\n" + sentence))
+    assert found["relations"][0]["evidence"] == sentence and found["entities"][0]["context"] == sentence
