@@ -20,6 +20,8 @@ MIN_BYTES = 40
 #: Of this many words of the longer line, one may be edited.
 WORDS_AN_EDIT = 10
 RUN = 3
+#: Pairs that a task holds before it writes them.
+HELD_PAIRS = 200_000
 #: A part of the documents by which frequent word runs are known, how often they stand in it, and how many are kept; these only set an order.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 200_000
 
@@ -67,8 +69,11 @@ def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[0::2], PrefixHash(low).span(change[0::2], change[1::2])
 
 
-def _word_runs(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each line, line of each run of RUN neighbouring words, its place in words, its hash)."""
+def _word_runs(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words and sketch of each line, line of each run of RUN neighbouring words, its place in words, its hash).
+
+    Each word turns one of the sketch's 64 bits, so a word edit turns two at most.
+    """
     at, word = _words(buf)
     first, last = np.searchsorted(at, start), np.searchsorted(at, start + size)
     runs = np.maximum(last - first - RUN + 1, 0)
@@ -77,17 +82,18 @@ def _word_runs(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
     run = np.zeros(len(i), U64)
     for j in range(RUN):
         run = run * U64(0x9E3779B97F4A7C15) + word[i + j]
-    return last - first, line, place, mix(run)
+    bits = np.concatenate(([U64(0)], np.bitwise_xor.accumulate(U64(1) << (word >> U64(58)))))
+    return last - first, (bits[last] ^ bits[first]).view(np.int64), line, place, mix(run)
 
 
-def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, key, words << 32 | place): the rarest word runs of each line, so many that two lines within the allowed word edits share one.
+def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(line, key, words << 32 | place, sketch): the rarest word runs of each line, so many that two lines within the allowed word edits share one.
 
     A word edit changes RUN runs of either line at most. Of the first ``RUN * edits + 1`` in one order of all runs
     (with all that equal the last), both lines thus hold the first run that the edits leave alone (prefix filter),
     at places that differ by the edits at most. A line of n words may have a longer partner, with n // 9 edits.
     """
-    n, line, place, run = _word_runs(buf, start, size)
+    n, sketch, line, place, run = _word_runs(buf, start, size)
     edits = n // (WORDS_AN_EDIT - 1)
     use = edits[line] > 0
     line, place, run = line[use], place[use], run[use]
@@ -104,7 +110,7 @@ def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: t
     rank = rank[np.maximum.accumulate(np.where(new, every, 0))]  # equal runs go together
     first = rank <= RUN * edits[line]
     line = line[first]
-    return line, mix(run[first]).view(np.int64), n[line] << 32 | place[first]
+    return line, mix(run[first]).view(np.int64), n[line] << 32 | place[first], sketch[line]
 
 
 def frequent_runs(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +120,7 @@ def frequent_runs(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         for b in batches:
             for _, run_ in slices(text_column(b)):
                 buf, _, _, start, size = split_lines(run_)
-                run, n = np.unique(_word_runs(buf, start, size)[3], return_counts=True)
+                run, n = np.unique(_word_runs(buf, start, size)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), pa.array(n)], ["run", "n"])
 
     sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
@@ -170,10 +176,10 @@ def _places(ids, number, p, start, size, h, state) -> pa.RecordBatch:
 
 
 def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
-    """(key, h, place) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments.
+    """(key, h, place, sketch) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments.
 
     Lines under ``least`` bytes have no segments. With ``frequent``, keys of word runs come too, all of them own and
-    with their place; that of segments is 0.
+    with their place and sketch; those of segments are 0.
     """
 
     def emit(ids, number, p, start, size, h, state) -> pa.RecordBatch:
@@ -188,13 +194,15 @@ def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | No
         key = [(own | 1).ravel(), (probe & ~1)[fits]]
         line = [np.repeat(h[long], own.shape[1]), np.repeat(h[long], probe.shape[1]).reshape(probe.shape)[fits]]
         place = [np.zeros(len(key[0]) + len(key[1]), np.int64)]
+        sketch = place[:]
         if frequent is not None:
-            whose, word_key, word_place = _word_keys(p.units, start[at], size[at], frequent)
+            whose, word_key, word_place, word_sketch = _word_keys(p.units, start[at], size[at], frequent)
             key.append(word_key | 1)
             line.append(h[whose])
             place.append(word_place)
-        key, line, place = (np.concatenate(x) for x in (key, line, place))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(place)], ["key", "h", "place"])
+            sketch.append(word_sketch)
+        key, line, place, sketch = (np.concatenate(x) for x in (key, line, place, sketch))
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(place), pa.array(sketch)], ["key", "h", "place", "sketch"])
 
     return emit
 
@@ -202,26 +210,28 @@ def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | No
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different lines under one key, one of which has it as its own; rows come in order of key.
 
-    Where a key is a word run, the words before it and those after it may differ by the allowed edits in all.
+    Where a key is a word run, the words before it and those after it may differ by the allowed edits in all,
+    and the sketches by twice as many bits.
     """
 
-    def pairs(key: np.ndarray, h: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def pairs(key: np.ndarray, h: np.ndarray, place: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1)))
         n = np.diff(np.concatenate((start, [len(key)])))
         a, b, held = [], [], 0
         for s, k in zip(start[n > 1].tolist(), n[n > 1].tolist()):
-            here, at = h[s : s + k], place[s : s + k]
+            here, at, bits = h[s : s + k], place[s : s + k], sketch[s : s + k]
             if at[0]:
                 words, before = at >> 32, at & 0xFFFFFFFF
                 after = words - before
                 for i in range(1, k):
                     apart = np.abs(before[:i] - before[i]) + np.abs(after[:i] - after[i])
-                    other = here[:i][(apart <= np.maximum(words[:i], words[i]) // WORDS_AN_EDIT) & (here[:i] != here[i])]
+                    most = np.maximum(words[:i], words[i]) // WORDS_AN_EDIT
+                    other = here[:i][(apart <= most) & (np.bitwise_count((bits[:i] ^ bits[i]).view(U64)) <= 2 * most) & (here[:i] != here[i])]
                     if len(other):
                         a.append(np.minimum(here[i], other))
                         b.append(np.maximum(here[i], other))
                         held += len(other)
-                    if held > 1_000_000:
+                    if held > HELD_PAIRS:
                         yield _distinct(a, b)
                         a, b, held = [], [], 0
                 continue
@@ -234,7 +244,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a.append(np.minimum(x, other))
                 b.append(np.maximum(x, other))
                 held += len(other)
-                if held > 1_000_000:
+                if held > HELD_PAIRS:
                     yield _distinct(a, b)
                     a, b, held = [], [], 0
         if a:
@@ -244,7 +254,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(i).to_numpy() for i in range(3)]
+        now = [batch.column(i).to_numpy() for i in range(4)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
         cut = np.searchsorted(now[0], now[0][-1] & ~1)  # the last key may go on in the next batch
@@ -360,8 +370,10 @@ def _verify(tau: int, least: int, words: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = zip(b.column(1).to_pylist(), b.column(3).to_pylist())
-            d = np.fromiter((distance(x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass")) for x, y in pairs), np.int32, b.num_rows)
+            d = np.empty(b.num_rows, np.int32)
+            for i in range(0, b.num_rows, 256):  # lines may be long
+                pairs = zip(b.column(1).slice(i, 256).to_pylist(), b.column(3).slice(i, 256).to_pylist())
+                d[i : i + 256] = [distance(x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass")) for x, y in pairs]
             keep = pa.array(d >= 0)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(2).filter(keep), pa.array(d).filter(keep)], ["h", "to", "distance"])
 
@@ -393,7 +405,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     frequent = frequent_runs(source) if whole else None
     raw = written(source.mapInArrow(_lines(least, _places), "h long, doc_id long, line_no int"), "lines")
     lines = written(raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    keys = source.mapInArrow(_lines(least, _segments(threshold, min_bytes, frequent)), "key long, h long, place long")
+    keys = source.mapInArrow(_lines(least, _segments(threshold, min_bytes, frequent)), "key long, h long, place long, sketch long")
     met = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_meet, "h long, other long").distinct()
     met = written(met, "line-pairs")
     needed = met.select("h").union(met.select("other")).distinct().join(lines.select("h", "first"), "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
