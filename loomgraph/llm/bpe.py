@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import PreTokens, SuffixTable, mix, ragged, slices, text_column
+from .textkit import U64, PreTokens, SuffixTable, mix, ragged, slices, text_column
 
 TOKENIZER_DIR = os.environ.get("LOOMGRAPH_TOKENIZERS", "/opt/tokenizers")
 TOKENIZER = "byte_bpe_50k.json"
@@ -229,7 +229,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.place = np.zeros(0, U64), np.zeros(0, np.int64)  # by hash
         self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, PreTokens]:
@@ -238,13 +238,17 @@ class Encoder:
         distinct, first, inverse = np.unique(pre.hash, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > KEPT_WORDS:
             self._forget()
-        place = np.fromiter((self.known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        place = np.full(len(distinct), -1)
+        if len(self.known):
+            to = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+            place = np.where(self.known[to] == distinct, self.place[to], -1)
         new = np.flatnonzero(place < 0)
         if len(new):
             ids, n = self.machine.encode_words(pre, first[new])
-            base = len(self.at)
-            place[new] = base + np.arange(len(new))
-            self.known.update(zip(distinct[new].tolist(), place[new].tolist()))
+            place[new] = len(self.at) + np.arange(len(new))
+            known = np.concatenate((self.known, distinct[new]))
+            order = np.argsort(known, kind="stable")  # a merge of two runs
+            self.known, self.place = known[order], np.concatenate((self.place, place[new]))[order]
             self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
             self.n = np.concatenate((self.n, n))
             self.ids = np.concatenate((self.ids, ids))
