@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -15,216 +17,239 @@ from .bpe import TOKENIZER, TOKENIZER_DIR, Encoder
 from .textkit import U64, ragged, slices, text_column
 
 #: Ids in a block, but for the last of a row.
-BLOCK_TOKENS = 8_192
+BLOCK_TOKENS = 16_384
 #: Documents fill a row until it holds this many ids; a longer document is a row of its own.
 ROW_TOKENS = 65_536
-#: Ids before the first update of frequencies and weights; each further one comes at twice the last place.
-SEGMENT = 512
+#: Hit rates and weights change after this many ids of a block, at a fixed step.
+LEARN = 128
+#: Frequencies are those before the last multiple of this many ids (128 at first).
+SNAPSHOT = 256
 #: Ids that one worker gathers before it codes their blocks side by side, and of these, ids whose models it holds at a time.
 GROUP_TOKENS = 3_000_000
-MODEL_TOKENS = 400_000
+MODEL_TOKENS = 1_000_000
+#: Range coders side by side in a block.
+STREAMS = 8
 
 STATES = 5  # of a context: never seen, then the outcomes of its last two predictions
-GAIN = 24
-HALVE = 1 << 18
-RATE = 10
+ONE = 65536
+LIMIT = 255
+STEP_SHIFT = 15
+#: Starting weights of the inputs: hit rate of the order, that of the other order, frequency.
+WEIGHTS = ([0.7, 0.3, 0.1], [0.8, 0.0, 0.2])
 _LOW32 = U64(0xFFFFFFFF)
+_ALL = (1 << 64) - 1
 
 _SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65504).astype(np.int64)
 _STRETCH = np.clip(np.rint(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256), -2047, 2047).astype(np.int64)
 
 
-def _stretch(p):
-    return _STRETCH[p >> 4]
+def is_snapshot(place: int) -> bool:
+    return place % SNAPSHOT == 0 or place == 128
 
 
-def _squash(d):
-    return _SQUASH[np.clip(d, -2047, 2047) + 2047]
+def prior(size: int) -> np.ndarray:
+    """Cumulative widths by which an id is coded that its block has not had: they fall with the id, as ids are ranks of merges."""
+    if size >= 1 << 31:
+        raise ValueError("ids must be below 2**31")
+    return np.concatenate(([0], np.cumsum(1 + (1 << 20) // (np.arange(size, dtype=np.int64) + 256))))
 
 
-class Mixer:
-    """Weights by block and context state; a bit's probability is the squashed weighted sum of stretched inputs."""
+class Bits:
+    """Adaptive probabilities of one kind of bit by block and context state, and weights that mix them with other inputs."""
 
-    def __init__(self, blocks: int, start: list[float]) -> None:
-        self.weight = np.tile(np.array([int(w * 65536) for w in start], np.int64), (blocks, STATES, 1))
-
-    def mix(self, block, state, inputs):
-        return _squash((self.weight[block, state] * inputs).sum(-1) >> 16)
-
-    def learn(self, block, state, inputs, p, bit) -> None:
-        """One step down the gradient for each block and state, over all bits of a segment."""
-        at = block * STATES + state
-        cells = self.weight.shape[0] * STATES
-        n = np.maximum(np.bincount(at, minlength=cells), 1)
-        error = (bit.astype(np.int64) << 16) - p
-        for i in range(self.weight.shape[2]):
-            total = np.bincount(at, error * inputs[:, i], cells).astype(np.int64)  # exact: below 2**53
-            self.weight[:, :, i] += ((total // n) * RATE >> 10).reshape(-1, STATES)
-
-
-class Model:
-    """Adaptive statistics of blocks coded side by side; they change only between segments."""
-
-    def __init__(self, blocks: int, size: int) -> None:
-        self.size = size
-        self.count = np.zeros((blocks, size), np.int32)
-        self.cum = np.zeros((blocks, size + 1), np.int32)
-        self.seen = np.zeros(blocks, np.int64)
-        self.hit = np.zeros((3, blocks, STATES), np.int64)  # order 2, order 1, order 1 after a miss
-        self.tried = np.zeros((3, blocks, STATES), np.int64)
-        self.first = Mixer(blocks, [0.7, 0.3, 0.1, 0.0])
-        self.second = Mixer(blocks, [0.8, 0.2, 0.0])
+    def __init__(self, blocks: int, start: list[float] | None = None) -> None:
+        self.cells = blocks * STATES
+        self.hit, self.tried = np.zeros((2, self.cells), np.int64)
+        self.weight = [np.full(self.cells, int(w * ONE), np.int64) for w in start or []]
         self.refresh()
 
     def refresh(self) -> None:
-        for row, count in zip(self.cum, self.count):
-            np.cumsum(count * np.int32(GAIN) + np.int32(1), out=row[1:])
-        self.total = self.cum[:, -1].astype(np.int64)
-        self.rate = ((2 * self.hit + 1) << 16) // (2 * self.tried + 2)
-
-    def freq(self, b, ids):
-        return 1 + GAIN * self.count[b, ids].astype(np.int64)
-
-    def inputs_first(self, b, s2, s1, agree, p2):
-        rank = np.where(s1 == 0, 0, np.where(agree, 1, -1))
-        zero = (self.freq(b, p2) << 16) // self.total[b]
-        return np.stack([_stretch(self.rate[0, b, s2]), rank * _stretch(self.rate[1, b, s1]), _stretch(zero), np.full(len(b), 256)], -1)
-
-    def inputs_second(self, b, s1, p1):
-        zero = (self.freq(b, p1) << 16) // self.total[b]
-        return np.stack([_stretch(self.rate[2, b, s1]), _stretch(zero), np.full(len(b), 256)], -1)
-
-    def learn(self, b, ids, s2, s1, p2, p1, a, a_in, a_p, a_bit, c, c_in, c_p, c_bit) -> None:
-        """Takes in a segment: all its ids, the first bits (at ``a``) and the second bits (at ``c``)."""
-        cells = self.hit.shape[1] * STATES
-        for k, at, state, bit in ((0, a, s2, a_bit), (1, s1 > 0, s1, (p1 == ids)[s1 > 0]), (2, c, s1, c_bit)):
-            cell = (b * STATES + state)[at]
-            self.hit[k] += np.bincount(cell, bit, cells).astype(np.int64).reshape(-1, STATES)
-            self.tried[k] += np.bincount(cell, minlength=cells).reshape(-1, STATES)
-        self.first.learn(b[a], s2[a], a_in, a_p, a_bit)
-        self.second.learn(b[c], s1[c], c_in, c_p, c_bit)
-        np.add.at(self.count.reshape(-1), b * self.size + ids, np.int32(1))  # one index: many times as fast as two
-        self.seen += np.bincount(b, minlength=len(self.seen))
-        large = self.seen > HALVE
-        if large.any():
-            self.count[large] >>= 1
-            self.seen[large] = self.count[large].sum(1)
+        self.rate = np.clip(((2 * self.hit + 1) << 16) // (2 * self.tried + 2), 32, 65504)
+        self.stretched = _STRETCH[self.rate >> 4]
+
+    def mix(self, cell: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(cell), np.int64)
+        for w, x in zip(self.weight, inputs):
+            total += w.take(cell) * x
+        return _SQUASH[np.clip(total >> 16, -2047, 2047) + 2047]
+
+    def learn(self, cell: np.ndarray, bit: np.ndarray, p: np.ndarray | None = None, inputs: list[np.ndarray] | None = None) -> None:
+        """Takes in the bits of one step; sums are exact, being below 2**53."""
+        self.hit += np.bincount(cell[bit], minlength=self.cells)
+        self.tried += np.bincount(cell, minlength=self.cells)
+        if p is not None:
+            error = (bit.astype(np.int64) << 16) - p
+            for w, x in zip(self.weight, inputs):
+                w += np.bincount(cell, error * x, self.cells).astype(np.int64) >> STEP_SHIFT
+        old = self.tried > LIMIT
+        self.hit[old] >>= 1
+        self.tried[old] >>= 1
         self.refresh()
 
 
-def _before(key: np.ndarray) -> np.ndarray:
-    """Place of the last earlier element of equal key, -1 where there is none; keys leave 22 bits for places."""
-    order = np.sort((key << U64(22)) | np.arange(len(key), dtype=U64))
-    place, key = (order & U64((1 << 22) - 1)).astype(np.int64), order >> U64(22)
-    out = np.full(len(key), -1)
-    same = key[1:] == key[:-1]
-    out[place[1:][same]] = place[:-1][same]
-    return out
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places by key then place, whether a key begins there)."""
+    order = np.sort((key.astype(U64) << U64(bits)) | np.arange(len(key), dtype=U64))
+    key = order >> U64(bits)
+    return (order & U64((1 << bits) - 1)).astype(np.int32), np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
 
 
-def _context(ids: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(predicted id, state) of each place: the id that followed the context last, and how its last two predictions went."""
-    last = _before(key) if len(key) < 1 << 22 else _before_long(key)
+def _context(ids: np.ndarray, place: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(last place of the same context or -1, whether its id comes again, state) from the order of the contexts."""
+    last = np.full(len(ids), -1, np.int32)
+    again = ~new[1:]
+    last[place[1:][again]] = place[:-1][again]
     known = last >= 0
-    guess = np.where(known, ids[last], 0)
-    right = known & (guess == ids)
-    older = np.where(known, last[last], -1)
-    return guess.astype(np.int32), np.where(known, 1 + 2 * right[last] + (right[older] & (older >= 0)), 0).astype(np.int8)
-
-
-def _before_long(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
-    out = np.full(len(key), -1)
-    same = key[order[1:]] == key[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
-def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(block, low, width, total) of every coding step, in order within each block."""
-    block = np.repeat(np.arange(len(sizes)), sizes)
+    right = known & (ids[last] == ids)
+    older = last[last]
+    state = np.where(known, 1 + 2 * right[last] + (right[older] & (older >= 0)), 0).astype(np.int8)
+    return last, right, state
+
+
+def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low, width and total of each coding step, block by block; steps of each block, filled up with idle ones to share out among its streams)."""
+    n, blocks = len(ids), len(sizes)
+    bits = (n + 1).bit_length()
+    if 3 * bits > 64:
+        raise ValueError("too many ids at a time")
+    start = np.cumsum(sizes) - sizes
+    block = np.repeat(np.arange(blocks), sizes)
     place = ragged(sizes)
-    one = np.where(place > 0, np.concatenate(([0], ids[:-1])), size)
-    two = np.where(place > 1, np.concatenate(([0, 0], ids[:-2])), size)[: len(ids)]
-    tag = block.astype(U64)
-    p1, s1 = _context(ids, (tag << U64(17)) | one.astype(U64))
-    p2, s2 = _context(ids, (tag << U64(34)) | (two.astype(U64) << U64(17)) | one.astype(U64))
-    del tag, one, two, place
-    model = Model(len(sizes), size)
-    out = [[], [], [], []]
-    low, high = 0, SEGMENT
-    starts = np.cumsum(sizes) - sizes
-    while low < sizes.max():
-        n = np.clip(sizes - low, 0, high - low)
-        t = np.repeat(starts + low, n) + ragged(n)
-        low, high = high, 2 * high
-        b, x, u2, u1, g2, g1 = block[t], ids[t], s2[t], s1[t], p2[t], p1[t]
-        a = u2 > 0
-        a_in = model.inputs_first(b[a], u2[a], u1[a], g1[a] == g2[a], g2[a])
-        a_p = model.first.mix(b[a], u2[a], a_in)
-        a_bit = x[a] == g2[a]
-        done = np.zeros(len(t), bool)
-        done[a] = a_bit
-        c = ~done & (u1 > 0) & ~(a & (g1 == g2))
-        c_in = model.inputs_second(b[c], u1[c], g1[c])
-        c_p = model.second.mix(b[c], u1[c], c_in)
-        c_bit = x[c] == g1[c]
-        literal = ~done
-        literal[c] &= ~c_bit
-        for mask, step, from_, width, total in (
-            (a, 0, np.where(a_bit, 0, a_p), np.where(a_bit, a_p, 65536 - a_p), np.full(len(a_p), 65536)),
-            (c, 1, np.where(c_bit, 0, c_p), np.where(c_bit, c_p, 65536 - c_p), np.full(len(c_p), 65536)),
-            (literal, 2, model.cum[b[literal], x[literal]], model.freq(b[literal], x[literal]), model.total[b[literal]]),
-        ):
-            out[0].append((t[mask] * 3 + step).astype(np.int32))
-            for o, v in zip(out[1:], (from_, width, total)):
-                o.append(v.astype(np.uint32))
-        model.learn(b, x, u2, u1, g2, g1, a, a_in, a_p, a_bit, c, c_in, c_p, c_bit)
-    step = np.full(3 * len(ids), -1, np.int32)
-    at = np.concatenate(out[0])
-    step[at] = np.arange(len(at), dtype=np.int32)
-    used = np.flatnonzero(step >= 0)
-    order = step[used]
-    return block[used // 3], *(np.concatenate(o)[order] for o in out[1:])
+    seen = np.zeros(size, np.int64)
+    seen[ids] = 1
+    dense = (np.cumsum(seen) - 1)[ids]
+    names = int(seen.sum()) + 1  # the last stands for what precedes a block
+    order, new = _sorted(block * names + dense, bits)
+    first = np.empty(n, np.int32)
+    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    fresh = np.cumsum(first == np.arange(n))
+    nth = (fresh - np.repeat(fresh[start] - 1, sizes) - 1)[first].astype(np.int32)  # ids of a block by first use
+    before = np.concatenate(([names - 1] * 2, dense))
+    order, new = _sorted(block * names + np.where(place > 0, before[1 : n + 1], names - 1), bits)
+    last1, right1, s1 = _context(ids, order, new)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(new) - 1
+    order, new = _sorted(rank * names + np.where(place > 1, before[:n], names - 1), bits)
+    last2, right2, s2 = _context(ids, order, new)
+    del order, new, rank, before, dense, fresh
+    # in order of step, then block, then place, so that a step is a slice
+    by = np.argsort((place // LEARN).astype(np.uint16), kind="stable").astype(np.int32)
+    edge = np.concatenate(([0], np.cumsum(np.bincount(place // LEARN))))
+    wide = int(nth.max()) + 1
+    cell0 = block[by] * STATES
+    row = block[by] * wide
+    own, guess1, guess2 = ((row + nth[i]).astype(np.int32) for i in (by, last1[by], last2[by]))
+    known_from = (first[by] - start[block[by]]).astype(np.int32)
+    agree = ((s1 > 0) & (s2 > 0) & (ids[last1] == ids[last2]))[by]
+    s1, s2, right1, right2, x = s1[by], s2[by], right1[by], right2[by], ids[by]
+    del last1, last2, first, nth, row, place
+    count = np.zeros((blocks, wide), np.int32)
+    table, upto = count.reshape(-1).copy(), count.reshape(-1).copy()
+    second, first_, novel = Bits(blocks, WEIGHTS[0]), Bits(blocks, WEIGHTS[1]), Bits(blocks)
+    steps = np.zeros(n, np.int8)  # coding steps of each id so far
+    out: list[list[np.ndarray]] = [[], [], [], [], []]  # id, its step, low, width, total
+
+    def emit(at: np.ndarray, low: np.ndarray, width: np.ndarray, total) -> None:
+        for o, v in zip(out, (at, steps[at], low.astype(np.uint32), width.astype(np.uint32), np.broadcast_to(np.uint32(total), len(at)) if np.isscalar(total) else total.astype(np.uint32))):
+            o.append(v)
+        steps[at] += 1
+
+    prior_at = prior(size)
+    flat, snap, taken = count.reshape(-1), 0, 0
+    for j, (a, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+        if is_snapshot(j * LEARN):
+            np.add.at(flat, own[taken:a], np.int32(1))
+            taken, snap = a, j * LEARN
+            most = min(wide, snap)
+            table = flat.copy()
+            np.cumsum(count[:, :most], axis=1, out=upto.reshape(blocks, wide)[:, :most])
+        cell = cell0[a:e]
+        c2, c1 = cell + s2[a:e], cell + s1[a:e]
+        per = ONE if snap == 0 else snap
+        f2, f1 = (_STRETCH[np.minimum((table.take(g[a:e]).astype(np.int64) << 16) // per, 65535) >> 4] for g in (guess2, guess1))
+        m2 = s2[a:e] > 0
+        i = np.flatnonzero(m2)
+        in2 = [second.stretched[c2[i]], np.where(s1[a:e][i] == 0, 0, np.where(agree[a:e][i], 1, -1)) * first_.stretched[c1[i]], f2[i]]
+        p2 = second.mix(c2[i], in2)
+        bit2 = right2[a:e][i]
+        emit(a + i, np.where(bit2, 0, p2), np.where(bit2, p2, ONE - p2), ONE)
+        left = np.ones(e - a, bool)
+        left[i] = ~bit2
+        k = np.flatnonzero(left & (s1[a:e] > 0) & ~(m2 & agree[a:e]))
+        in1 = [first_.stretched[c1[k]], np.where(m2[k], second.stretched[c2[k]], 0), f1[k]]
+        p1 = first_.mix(c1[k], in1)
+        bit1 = right1[a:e][k]
+        emit(a + k, np.where(bit1, 0, p1), np.where(bit1, p1, ONE - p1), ONE)
+        left[k] = ~bit1
+        l = np.flatnonzero(left)
+        bit0 = known_from[a:e][l] >= snap
+        p0 = novel.rate[c1[l]]
+        emit(a + l, np.where(bit0, 0, p0), np.where(bit0, p0, ONE - p0), ONE)
+        at, v = own[a:e][l], x[a:e][l]
+        used = table[at]
+        emit(a + l, np.where(bit0, prior_at[v], upto[at] - used), np.where(bit0, prior_at[v + 1] - prior_at[v], used), np.where(bit0, prior_at[-1], snap))
+        second.learn(c2[i], bit2, p2, in2)
+        first_.learn(c1[k], bit1, p1, in1)
+        novel.learn(c1[l], bit0)
+    count = np.empty(n, np.int8)
+    count[by] = steps
+    coded, each = np.add.reduceat(count, start, dtype=np.int64), streams_of(sizes)
+    padded = -(-coded // each) * each
+    total = int(padded.sum())
+    base = (np.cumsum(count, dtype=np.int64) - count + np.repeat(np.cumsum(padded - coded) - (padded - coded), sizes))[by]
+    at, nth_step, *events = (np.concatenate(o) for o in out)
+    to = base.take(at)
+    to += nth_step
+    made = np.empty((3, total), np.uint32)
+    idle = padded - coded
+    made[:, np.repeat(np.cumsum(padded) - idle, idle) + ragged(idle)] = np.array([[0], [1], [1]], np.uint32)
+    for row, v in zip(made, events):
+        row[to] = v
+    return made, padded
+
+
+def streams_of(n):
+    """Coders that share a block of ``n`` ids, each taking every so manieth step: small blocks have one."""
+    return np.where(n >= STREAMS * 512, STREAMS, 1)
 
 
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray, size: int) -> list[bytes]:
-    """Payload of each block of ``sizes`` ids, all below ``size``; the coder runs over all blocks at once."""
+    """Payload of each block of ``sizes`` ids, all below ``size``; the coders run over all streams of all blocks at once."""
     if not len(sizes):
         return []
-    # the models run over some blocks at a time, which bounds their memory; the coder over all, which spreads its steps
+    # the models run over some blocks at a time, which bounds their memory; the coders over all, which spreads their steps
     ends = np.cumsum(sizes)
-    parts, n, first = [], np.zeros(len(sizes), np.int64), 0
+    parts, counts, first = [], [], 0
     while first < len(sizes):
         start = int(ends[first] - sizes[first])
         last = max(first + 1, int(np.searchsorted(ends, start + MODEL_TOKENS, side="right")))
-        block, *events = _events(ids[start : ends[last - 1]].astype(np.int64), sizes[first:last], size)
-        n[first:last] = np.bincount(block, minlength=last - first)
-        parts.append((first, last, events))
+        made, padded = _events(ids[start : ends[last - 1]].astype(np.int64), sizes[first:last], size)
+        parts.append(made)
+        counts.append(padded)
         first = last
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(sizes), np.int64)
-    rank[order] = np.arange(len(sizes))
-    most = int(n.max())
-    table = np.ones((3, most * len(sizes)), np.uint32)
-    for first, last, events in parts:
-        cell = ragged(n[first:last]) * len(sizes) + np.repeat(rank[first:last], n[first:last])
-        for row, v in zip(table, events):
-            row[cell] = v
-    lows, widths, totals = table.reshape(3, most, len(sizes))
-    del table, cell, parts, events
-    low = np.zeros(len(sizes), U64)
-    span = np.full(len(sizes), 0xFFFFFFFFFFFFFFFF, U64)
-    words = np.zeros((len(sizes), most + 3), np.uint32)
-    filled = np.zeros(len(sizes), np.int64)
-    live = np.searchsorted(-n[order], -np.arange(1, most + 1), side="right")
+    n, each = np.concatenate(counts), streams_of(sizes)
+    lows, widths, totals = parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)
+    parts.clear()
+    rounds = n // each
+    order = np.argsort(-rounds, kind="stable")  # the live coders are always the first ones
+    lanes, most = int(each.sum()), int(rounds.max())
+    column = np.empty(len(sizes), np.int64)
+    column[order] = np.cumsum(each[order]) - each[order]
+    at = np.repeat((np.cumsum(n) - n)[order], each[order]) + ragged(each[order])
+    jump = np.repeat(each[order], each[order])
+    low = np.zeros(lanes, U64)
+    span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
+    words = np.zeros((lanes, most + 3), np.uint32)
+    filled = np.zeros(lanes, np.int64)
+    live = np.searchsorted(-np.repeat(rounds[order], each[order]), -np.arange(1, most + 1), side="right").tolist()
     limit = U64(1 << 32)
     for k in range(most):
         m = live[k]
-        lo, sp = low[:m], span[:m]
-        sp //= totals[k, :m]
-        lo += lows[k, :m] * sp
-        sp *= widths[k, :m]
+        lo, sp, now = low[:m], span[:m], at[:m]
+        sp //= totals[now]
+        lo += lows[now] * sp
+        sp *= widths[now]
+        now += jump[:m]
         need = np.flatnonzero(sp < limit)
         if len(need):
             a, r = lo[need], sp[need]
@@ -234,80 +259,135 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, size: int) -> list[bytes]:
             filled[need] += 1
             lo[need] = a << U64(32)
             sp[need] = r << U64(32)
-    words[np.arange(len(sizes)), filled] = (low >> U64(32)).astype(np.uint32)
-    words[np.arange(len(sizes)), filled + 1] = (low & _LOW32).astype(np.uint32)
-    return [words[r, : filled[r] + 2].astype(">u4").tobytes() for r in rank]
+    words[np.arange(lanes), filled] = (low >> U64(32)).astype(np.uint32)
+    words[np.arange(lanes), filled + 1] = (low & _LOW32).astype(np.uint32)
+    coded = [words[r, : filled[r] + 2].astype(">u4").tobytes() for r in range(lanes)]
+    # the lengths of all streams but the last come first
+    return [np.array([len(c) for c in own[:-1]], ">u4").tobytes() + b"".join(own) for own in (coded[c : c + k] for c, k in zip(column.tolist(), each.tolist()))]
+
+
+class Coder:
+    """The reading end of one stream."""
+
+    def __init__(self, payload: bytes) -> None:
+        self.words = np.frombuffer(payload, ">u4").tolist() + [0, 0]
+        self.code, self.taken = self.words[0] << 32 | self.words[1], 2
+        self.low, self.span = 0, _ALL
+
+    def take(self, a: int, w: int, r: int) -> None:
+        self.low, self.span = self.low + a * r, w * r
+        if self.span < 1 << 32:
+            if self.low >> 32 != (self.low + self.span - 1) >> 32:
+                self.span = (1 << 32) - (self.low & 0xFFFFFFFF)
+            self.low, self.span = (self.low << 32) & _ALL, self.span << 32
+            self.code = (self.code << 32 & _ALL) | self.words[self.taken]
+            self.taken += 1
 
 
 def decode_block(payload: bytes, n: int, size: int) -> np.ndarray:
-    """The ``n`` ids of one payload."""
-    words = np.frombuffer(payload, ">u4").tolist() + [0, 0]
-    code, taken = words[0] << 32 | words[1], 2
-    low, span = 0, (1 << 64) - 1
-    mask = (1 << 64) - 1
-    model = Model(1, size)
+    """The ``n`` ids of one payload: the models of ``_events`` one id at a time, in the same whole numbers."""
+    streams = int(streams_of(n))
+    head = np.frombuffer(payload[: 4 * (streams - 1)], ">u4").tolist()
+    body, coders = payload[4 * (streams - 1) :], []
+    for length in [*head, len(body)]:
+        coders.append(Coder(body[:length]))
+        body = body[length:]
+    turn = 0
+    squash, stretch, prior_at = _SQUASH.tolist(), _STRETCH.tolist(), prior(size).tolist()
+    hit, tried = ([[0] * STATES for _ in range(3)] for _ in range(2))
+    weight = [[[int(w * ONE) for w in start] for _ in range(STATES)] for start in WEIGHTS]
+    step: list[list] = [[], [], []]
+    rate = [[32768] * STATES for _ in range(3)]
     ids: list[int] = []
     memory: list[dict] = [{}, {}]  # context: (predicted id, last outcome, the one before)
-
-    def settle() -> None:
-        nonlocal low, span, code, taken
-        if span < 1 << 32:
-            if low >> 32 != (low + span - 1) >> 32:
-                span = (1 << 32) - (low & 0xFFFFFFFF)
-            low, span = (low << 32) & mask, span << 32
-            code = (code << 32 & mask) | words[taken]
-            taken += 1
-
-    def take(a: int, w: int, r: int) -> None:
-        nonlocal low, span
-        low, span = low + a * r, w * r
-        settle()
+    nth: dict[int, int] = {}
+    names: list[int] = []
+    count: list[int] = []
+    table: list[int] = []
+    upto: list[int] = []
+    snap = 0
+
+    def coder() -> Coder:
+        nonlocal turn
+        turn += 1
+        return coders[(turn - 1) % streams]
 
     def bit(p: int) -> bool:
-        nonlocal span
-        r = span // 65536
-        hit = (code - low) // r < p
-        take(0 if hit else p, p if hit else 65536 - p, r)
-        return hit
-
-    zero = np.zeros(1, np.int64)
-    while len(ids) < n:
-        rows = []
-        for _ in range(min(SEGMENT if not ids else len(ids), n - len(ids))):
-            one = ids[-1] if ids else size
-            two = ids[-2] if len(ids) > 1 else size
-            m1, m2 = memory[0].get(one), memory[1].get((two, one))
-            g1, s1 = (m1[0], 1 + 2 * m1[1] + m1[2]) if m1 else (0, 0)
-            g2, s2 = (m2[0], 1 + 2 * m2[1] + m2[2]) if m2 else (0, 0)
-            x, a, c = None, None, None
-            arr = lambda v: np.array([v], np.int64)
-            if s2:
-                inputs = model.inputs_first(zero, arr(s2), arr(s1), np.array([g1 == g2]), arr(g2))
-                p = int(model.first.mix(zero, arr(s2), inputs)[0])
-                hit = bit(p)
-                a = (inputs[0], p, hit)
-                x = g2 if hit else None
-            if x is None and s1 and not (s2 and g1 == g2):
-                inputs = model.inputs_second(zero, arr(s1), arr(g1))
-                p = int(model.second.mix(zero, arr(s1), inputs)[0])
-                hit = bit(p)
-                c = (inputs[0], p, hit)
-                x = g1 if hit else None
-            if x is None:
-                r = span // int(model.total[0])
-                x = int(np.searchsorted(model.cum[0], (code - low) // r, side="right")) - 1
-                take(int(model.cum[0, x]), int(model.freq(0, x)), r)
-            for k, key, m in ((0, one, m1), (1, (two, one), m2)):
-                memory[k][key] = (x, bool(m and m[0] == x), bool(m and m[1]))
-            rows.append((x, s2, s1, g2, g1, a, c))
-            ids.append(x)
-        x, s2, s1, g2, g1 = (np.array([r[i] for r in rows], np.int64) for i in range(5))
-        parts = []
-        for i, width in ((5, 4), (6, 3)):
-            mask_ = np.array([r[i] is not None for r in rows])
-            got = [r[i] for r in rows if r[i] is not None]
-            parts += [mask_, np.array([g[0] for g in got], np.int64).reshape(-1, width), np.array([g[1] for g in got], np.int64), np.array([g[2] for g in got], bool)]
-        model.learn(np.zeros(len(rows), np.int64), x, s2, s1, g2, g1, *parts)
+        c = coder()
+        r = c.span // ONE
+        yes = (c.code - c.low) // r < p
+        c.take(0 if yes else p, p if yes else ONE - p, r)
+        return yes
+
+    def mixed(kind: int, state: int, inputs: list[int]) -> bool:
+        w = weight[kind][state]
+        d = (w[0] * inputs[0] + w[1] * inputs[1] + w[2] * inputs[2]) >> 16
+        p = squash[min(max(d, -2047), 2047) + 2047]
+        yes = bit(p)
+        step[kind].append((state, yes, p, inputs))
+        return yes
+
+    def frequency(x: int) -> int:
+        at = nth[x]
+        return stretch[min(((table[at] if at < len(table) else 0) << 16) // (snap or ONE), 65535) >> 4]
+
+    def learn() -> None:
+        for kind in range(3):
+            total: dict[int, list[int]] = {}
+            for state, yes, p, inputs in step[kind]:
+                hit[kind][state] += yes
+                tried[kind][state] += 1
+                if inputs is not None:
+                    t = total.setdefault(state, [0] * 3)
+                    error = (yes << 16) - p
+                    for i, x in enumerate(inputs):
+                        t[i] += error * x
+            for state, t in total.items():
+                weight[kind][state] = [w + (x >> STEP_SHIFT) for w, x in zip(weight[kind][state], t)]
+            for state in range(STATES):
+                if tried[kind][state] > LIMIT:
+                    hit[kind][state] >>= 1
+                    tried[kind][state] >>= 1
+                rate[kind][state] = min(max(((2 * hit[kind][state] + 1) << 16) // (2 * tried[kind][state] + 2), 32), 65504)
+            step[kind].clear()
+
+    for place in range(n):
+        if place % LEARN == 0:
+            if place:
+                learn()
+            if is_snapshot(place):
+                table, snap = count[:], place
+                upto = [0, *accumulate(table)]
+        one = ids[-1] if ids else size
+        two = ids[-2] if place > 1 else size
+        m1, m2 = memory[0].get(one), memory[1].get((two, one))
+        g1, s1 = (m1[0], 1 + 2 * m1[1] + m1[2]) if m1 else (0, 0)
+        g2, s2 = (m2[0], 1 + 2 * m2[1] + m2[2]) if m2 else (0, 0)
+        x = None
+        if s2:
+            below = 0 if not s1 else stretch[rate[1][s1] >> 4] * (1 if g1 == g2 else -1)
+            if mixed(0, s2, [stretch[rate[0][s2] >> 4], below, frequency(g2)]):
+                x = g2
+        if x is None and s1 and not (s2 and g1 == g2):
+            if mixed(1, s1, [stretch[rate[1][s1] >> 4], stretch[rate[0][s2] >> 4] if s2 else 0, frequency(g1)]):
+                x = g1
+        if x is None:
+            fresh = bit(rate[2][s1])
+            step[2].append((s1, fresh, 0, None))
+            steps = prior_at if fresh else upto
+            c = coder()
+            r = c.span // steps[-1]
+            at = min(bisect_right(steps, (c.code - c.low) // r) - 1, len(steps) - 2)
+            c.take(steps[at], steps[at + 1] - steps[at], r)
+            x = at if fresh else names[at]
+        for k, key, m in ((0, one, m1), (1, (two, one), m2)):
+            memory[k][key] = (x, bool(m and m[0] == x), bool(m and m[1]))
+        if x not in nth:
+            nth[x] = len(names)
+            names.append(x)
+            count.append(0)
+        count[nth[x]] += 1
+        ids.append(x)
     return np.array(ids, np.int32)
 
 
@@ -380,7 +460,7 @@ def token_blocks(docs: DataFrame, tokenizer_dir: str = TOKENIZER_DIR, tokenizer:
 
     A row holds whole documents, its ids cut into blocks. A block is coded from a model of its own and can be decoded
     by itself; ``crc32`` is of its ids as little-endian int32. In a block, the ids that last followed the two and the one id before are tried in turn,
-    each by a bit whose probability mixes all three orders; an id that neither gives is coded by its frequency.
+    each by a bit whose probability mixes all three orders; an id that neither gives is coded by its frequency, or by a fixed prior where it is new.
     Null and empty texts have no ids but keep their place; repeated rows and null doc_ids are coded like
     any; other columns are not read; an empty table gives no rows.
     """
