@@ -33,6 +33,8 @@ STREAMS = 8
 STATES = 5  # of a context: never seen, then the outcomes of its last two predictions
 ONE = 65536
 LIMIT = 255
+#: Width of the step that tells which prediction was right: with probabilities within 32 of 2**16, and these for an id new to the block, no part is empty.
+TOTAL, FRESH = 1 << 26, (4096, 61440)
 STEP_SHIFT = 15
 #: Starting weights of the inputs: hit rate of the order, that of the other order, frequency.
 WEIGHTS = ([0.7, 0.3, 0.1], [0.8, 0.0, 0.2])
@@ -106,6 +108,14 @@ def _context(ids: np.ndarray, place: np.ndarray, new: np.ndarray) -> tuple[np.nd
     return last, right, state
 
 
+def _split(low: np.ndarray, width: np.ndarray, at: np.ndarray, p: np.ndarray, bit: np.ndarray) -> None:
+    """Narrows the intervals at ``at`` to the lower ``p`` of 2**16 where ``bit`` is set, else to what is above."""
+    w = width[at]
+    part = w * p >> 16
+    low[at] += np.where(bit, 0, part)
+    width[at] = np.where(bit, part, w - part)
+
+
 def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(low, width and total of each coding step, block by block; steps of each block, filled up with idle ones to share out among its streams)."""
     n, blocks = len(ids), len(sizes)
@@ -146,14 +156,8 @@ def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray,
     count = np.zeros((blocks, wide), np.int32)
     table, upto = count.reshape(-1).copy(), count.reshape(-1).copy()
     second, first_, novel = Bits(blocks, WEIGHTS[0]), Bits(blocks, WEIGHTS[1]), Bits(blocks)
-    steps = np.zeros(n, np.int8)  # coding steps of each id so far
-    out: list[list[np.ndarray]] = [[], [], [], [], []]  # id, its step, low, width, total
-
-    def emit(at: np.ndarray, low: np.ndarray, width: np.ndarray, total) -> None:
-        for o, v in zip(out, (at, steps[at], low.astype(np.uint32), width.astype(np.uint32), np.broadcast_to(np.uint32(total), len(at)) if np.isscalar(total) else total.astype(np.uint32))):
-            o.append(v)
-        steps[at] += 1
-
+    low, width = np.zeros(n, np.uint32), np.empty(n, np.uint32)
+    literal: list[list[np.ndarray]] = [[], [], [], []]  # place, low, width, total
     prior_at = prior(size)
     flat, snap, taken = count.reshape(-1), 0, 0
     for j, (a, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
@@ -172,39 +176,40 @@ def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray,
         in2 = [second.stretched[c2[i]], np.where(s1[a:e][i] == 0, 0, np.where(agree[a:e][i], 1, -1)) * first_.stretched[c1[i]], f2[i]]
         p2 = second.mix(c2[i], in2)
         bit2 = right2[a:e][i]
-        emit(a + i, np.where(bit2, 0, p2), np.where(bit2, p2, ONE - p2), ONE)
+        lo, w = np.zeros(e - a, np.int64), np.full(e - a, TOTAL)
+        _split(lo, w, i, p2, bit2)
         left = np.ones(e - a, bool)
         left[i] = ~bit2
         k = np.flatnonzero(left & (s1[a:e] > 0) & ~(m2 & agree[a:e]))
         in1 = [first_.stretched[c1[k]], np.where(m2[k], second.stretched[c2[k]], 0), f1[k]]
         p1 = first_.mix(c1[k], in1)
         bit1 = right1[a:e][k]
-        emit(a + k, np.where(bit1, 0, p1), np.where(bit1, p1, ONE - p1), ONE)
+        _split(lo, w, k, p1, bit1)
         left[k] = ~bit1
         l = np.flatnonzero(left)
         bit0 = known_from[a:e][l] >= snap
-        p0 = novel.rate[c1[l]]
-        emit(a + l, np.where(bit0, 0, p0), np.where(bit0, p0, ONE - p0), ONE)
+        _split(lo, w, l, np.clip(novel.rate[c1[l]], *FRESH), bit0)
+        low[a:e], width[a:e] = lo, w
         at, v = own[a:e][l], x[a:e][l]
         used = table[at]
-        emit(a + l, np.where(bit0, prior_at[v], upto[at] - used), np.where(bit0, prior_at[v + 1] - prior_at[v], used), np.where(bit0, prior_at[-1], snap))
+        for o, part in zip(literal, (a + l, np.where(bit0, prior_at[v], upto[at] - used), np.where(bit0, prior_at[v + 1] - prior_at[v], used), np.where(bit0, prior_at[-1], snap))):
+            o.append(part)
         second.learn(c2[i], bit2, p2, in2)
         first_.learn(c1[k], bit1, p1, in1)
         novel.learn(c1[l], bit0)
-    count = np.empty(n, np.int8)
-    count[by] = steps
+    at, *events = (np.concatenate(o) for o in literal)
+    count = np.ones(n, np.int8)
+    count[by[at]] = 2
     coded, each = np.add.reduceat(count, start, dtype=np.int64), streams_of(sizes)
     padded = -(-coded // each) * each
-    total = int(padded.sum())
     base = (np.cumsum(count, dtype=np.int64) - count + np.repeat(np.cumsum(padded - coded) - (padded - coded), sizes))[by]
-    at, nth_step, *events = (np.concatenate(o) for o in out)
-    to = base.take(at)
-    to += nth_step
-    made = np.empty((3, total), np.uint32)
+    made = np.empty((3, int(padded.sum())), np.uint32)
     idle = padded - coded
     made[:, np.repeat(np.cumsum(padded) - idle, idle) + ragged(idle)] = np.array([[0], [1], [1]], np.uint32)
-    for row, v in zip(made, events):
-        row[to] = v
+    to = base.take(at) + 1
+    for row, first_step, second_step in zip(made, (low, width, TOTAL), events):
+        row[base] = first_step
+        row[to] = second_step
     return made, padded
 
 
@@ -305,25 +310,27 @@ def decode_block(payload: bytes, n: int, size: int) -> np.ndarray:
     count: list[int] = []
     table: list[int] = []
     upto: list[int] = []
-    snap = 0
+    snap = v = lo = w = 0
 
     def coder() -> Coder:
         nonlocal turn
         turn += 1
         return coders[(turn - 1) % streams]
 
-    def bit(p: int) -> bool:
-        c = coder()
-        r = c.span // ONE
-        yes = (c.code - c.low) // r < p
-        c.take(0 if yes else p, p if yes else ONE - p, r)
+    def split(p: int) -> bool:
+        nonlocal lo, w
+        part = w * p >> 16
+        yes = v < lo + part
+        if yes:
+            w = part
+        else:
+            lo, w = lo + part, w - part
         return yes
 
     def mixed(kind: int, state: int, inputs: list[int]) -> bool:
-        w = weight[kind][state]
-        d = (w[0] * inputs[0] + w[1] * inputs[1] + w[2] * inputs[2]) >> 16
-        p = squash[min(max(d, -2047), 2047) + 2047]
-        yes = bit(p)
+        a = weight[kind][state]
+        p = squash[min(max(sum(x * y for x, y in zip(a, inputs)) >> 16, -2047), 2047) + 2047]
+        yes = split(p)
         step[kind].append((state, yes, p, inputs))
         return yes
 
@@ -363,7 +370,10 @@ def decode_block(payload: bytes, n: int, size: int) -> np.ndarray:
         m1, m2 = memory[0].get(one), memory[1].get((two, one))
         g1, s1 = (m1[0], 1 + 2 * m1[1] + m1[2]) if m1 else (0, 0)
         g2, s2 = (m2[0], 1 + 2 * m2[1] + m2[2]) if m2 else (0, 0)
-        x = None
+        x, fresh = None, False
+        c = coder()
+        r = c.span // TOTAL
+        v, lo, w = (c.code - c.low) // r, 0, TOTAL
         if s2:
             below = 0 if not s1 else stretch[rate[1][s1] >> 4] * (1 if g1 == g2 else -1)
             if mixed(0, s2, [stretch[rate[0][s2] >> 4], below, frequency(g2)]):
@@ -372,10 +382,11 @@ def decode_block(payload: bytes, n: int, size: int) -> np.ndarray:
             if mixed(1, s1, [stretch[rate[1][s1] >> 4], stretch[rate[0][s2] >> 4] if s2 else 0, frequency(g1)]):
                 x = g1
         if x is None:
-            fresh = bit(rate[2][s1])
+            fresh = split(min(max(rate[2][s1], FRESH[0]), FRESH[1]))
             step[2].append((s1, fresh, 0, None))
-            steps = prior_at if fresh else upto
-            c = coder()
+        c.take(lo, w, r)
+        if x is None:
+            steps, c = prior_at if fresh else upto, coder()
             r = c.span // steps[-1]
             at = min(bisect_right(steps, (c.code - c.low) // r) - 1, len(steps) - 2)
             c.take(steps[at], steps[at + 1] - steps[at], r)
