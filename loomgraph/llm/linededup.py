@@ -24,6 +24,8 @@ RUN = 3
 HELD_PAIRS = 200_000
 #: A part of the documents by which frequent word runs are known, how often they stand in it, and how many are kept; these only set an order.
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 200_000
+#: Lines under one key that one task compares; a key that holds more by the same sample is cut into such blocks, and each two blocks are a key of their own.
+BLOCK, MOST_HOT = 2_000, 100_000
 
 
 def _cuts(length: np.ndarray, segments: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +133,16 @@ def frequent_runs(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return run[order], n[order]
 
 
+def hot_keys(source: DataFrame, least: int, tau: int, min_bytes: int, frequent) -> tuple[np.ndarray, np.ndarray]:
+    """(key >> 2, blocks) of the keys that hold more than ``BLOCK`` distinct lines by a sample; it only spreads the comparisons."""
+    sample = source.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    keys = sample.mapInArrow(_lines(least, _segments(tau, min_bytes, frequent)), "key long, h long, place long, sketch long").select(F.shiftright("key", 2).alias("key"), "h").distinct()
+    rows = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > BLOCK).orderBy(F.desc("n"), "key").limit(MOST_HOT).toArrow()
+    key, n = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+    order = np.argsort(key)
+    return key[order], np.minimum(-(-n[order] * SAMPLE // BLOCK), 1 << 20)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -155,34 +167,51 @@ def split_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _lines(least: int, emit):
-    """A task over batches of (doc_id, text): ``emit`` gets ids and split lines of ``least`` bytes or more."""
+    """A task over batches of (doc_id, text, hash of the text): ``emit`` gets where they stand and split lines of ``least`` bytes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, of = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for first, run_ in slices(text_column(b)):
                 buf, row, number, start, size = split_lines(run_)
                 use = size >= least
                 start, size = start[use], size[use]
                 p = PrefixHash(buf)
-                yield emit(ids[first + row[use]], number[use], p, start, size, p.span(start, start + size).view(np.int64), state)
+                row = first + row[use]
+                yield emit((ids[row], number[use], of[row]), p, start, size, p.span(start, start + size).view(np.int64), state)
 
     return run
 
 
-def _places(ids, number, p, start, size, h, state) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(number.astype(np.int32))], ["h", "doc_id", "line_no"])
+def _places(where, p, start, size, h, state) -> pa.RecordBatch:
+    ids, number, of = where
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(number.astype(np.int32)), pa.array(of)], ["h", "doc_id", "line_no", "of"])
+
+
+def _spread(key: np.ndarray, rows: list[np.ndarray], hot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows under hot keys once for each pair of blocks with their own; the second bit of a key tells which of the two a row is of."""
+    known, blocks = hot
+    if not len(known) or not len(key):
+        return key, rows
+    at = np.minimum(np.searchsorted(known, key >> 2), len(known) - 1)
+    m = np.where(known[at] == key >> 2, blocks[at], 1)
+    i = np.repeat(np.arange(len(key)), m)
+    other, cut = ragged(m), m[i] > 1
+    own = ((mix(rows[0].view(U64))[i] >> U64(32)) % m[i].astype(U64)).astype(np.int64)
+    pair = (np.minimum(own, other) << 20 | np.maximum(own, other)).astype(U64)
+    moved = mix((key[i] >> 2).astype(U64) ^ mix(pair + U64(1))).view(np.int64) & ~3 | (own > other).astype(np.int64) << 1 | key[i] & 1
+    return np.where(cut, moved, key[i]), [r[i] for r in rows]
 
 
-def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | None = None):
-    """(key, h, place, sketch) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments.
+def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | None = None, hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64),) * 2):
+    """(key, h, place, sketch) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments, the next is for ``_spread``.
 
     Lines under ``least`` bytes have no segments. With ``frequent``, keys of word runs come too, all of them own and
     with their place and sketch; those of segments are 0.
     """
 
-    def emit(ids, number, p, start, size, h, state) -> pa.RecordBatch:
+    def emit(where, p, start, size, h, state) -> pa.RecordBatch:
         h, at = np.unique(h, return_index=True)
         seen = state.get("seen", np.zeros(0, np.int64))
         new = ~np.isin(h, seen, assume_unique=True)
@@ -191,17 +220,17 @@ def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | No
         long = size[at] >= least
         own, probe = _keys(p, start[at[long]], size[at[long]], tau)
         fits = probe != 0
-        key = [(own | 1).ravel(), (probe & ~1)[fits]]
+        key = [(own & ~3 | 1).ravel(), (probe & ~3)[fits]]
         line = [np.repeat(h[long], own.shape[1]), np.repeat(h[long], probe.shape[1]).reshape(probe.shape)[fits]]
         place = [np.zeros(len(key[0]) + len(key[1]), np.int64)]
         sketch = place[:]
         if frequent is not None:
             whose, word_key, word_place, word_sketch = _word_keys(p.units, start[at], size[at], frequent)
-            key.append(word_key | 1)
+            key.append(word_key & ~3 | 1)
             line.append(h[whose])
             place.append(word_place)
             sketch.append(word_sketch)
-        key, line, place, sketch = (np.concatenate(x) for x in (key, line, place, sketch))
+        key, (line, place, sketch) = _spread(np.concatenate(key), [np.concatenate(x) for x in (line, place, sketch)], hot)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(place), pa.array(sketch)], ["key", "h", "place", "sketch"])
 
     return emit
@@ -215,38 +244,49 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def pairs(key: np.ndarray, h: np.ndarray, place: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate(([True], key[1:] >> 1 != key[:-1] >> 1)))
+        start = np.flatnonzero(np.concatenate(([True], key[1:] >> 2 != key[:-1] >> 2)))
         n = np.diff(np.concatenate((start, [len(key)])))
         a, b, held = [], [], 0
+
+        def meet(x: int, other: np.ndarray) -> None:
+            nonlocal held
+            a.append(np.minimum(x, other))
+            b.append(np.maximum(x, other))
+            held += len(other)
+
         for s, k in zip(start[n > 1].tolist(), n[n > 1].tolist()):
-            here, at, bits = h[s : s + k], place[s : s + k], sketch[s : s + k]
+            here, at, bits, side, own = h[s : s + k], place[s : s + k], sketch[s : s + k], key[s : s + k] & 2, key[s : s + k] & 1
+            if k > 2:  # a line comes from each task that met it
+                order = np.lexsort((own, side, at, here))
+                same = (here[order][1:] == here[order][:-1]) & (at[order][1:] == at[order][:-1]) & (side[order][1:] == side[order][:-1])
+                order = order[np.concatenate((~same, [True]))]  # the last of equals: own, where any is
+                here, at, bits, side, own = (v[order] for v in (here, at, bits, side, own))
+            if len(here) < 2 or here[0] == here[-1] and (here == here[0]).all():
+                continue
+            cross = side.any()  # two blocks of a hot key, each compared with itself elsewhere
             if at[0]:
                 words, before = at >> 32, at & 0xFFFFFFFF
                 after = words - before
-                for i in range(1, k):
+                for i in range(1, len(here)):
                     apart = np.abs(before[:i] - before[i]) + np.abs(after[:i] - after[i])
                     most = np.maximum(words[:i], words[i]) // WORDS_AN_EDIT
-                    other = here[:i][(apart <= most) & (np.bitwise_count((bits[:i] ^ bits[i]).view(U64)) <= 2 * most) & (here[:i] != here[i])]
+                    near = (apart <= most) & (np.bitwise_count((bits[:i] ^ bits[i]).view(U64)) <= 2 * most) & (here[:i] != here[i])
+                    other = here[:i][near & (side[:i] != side[i])] if cross else here[:i][near]
                     if len(other):
-                        a.append(np.minimum(here[i], other))
-                        b.append(np.maximum(here[i], other))
-                        held += len(other)
+                        meet(here[i], other)
                     if held > HELD_PAIRS:
                         yield _distinct(a, b)
-                        a, b, held = [], [], 0
-                continue
-            own = np.unique(here[key[s : s + k] & 1 == 1])
-            every = np.unique(here)
-            if len(every) < 2:
+                        a.clear(), b.clear()
+                        held = 0
                 continue
-            for x in own:
-                other = every[every != x]
-                a.append(np.minimum(x, other))
-                b.append(np.maximum(x, other))
-                held += len(other)
+            for i in np.flatnonzero(own):
+                other = here[(here != here[i]) & (side != side[i])] if cross else here[here != here[i]]
+                if len(other):
+                    meet(here[i], other)
                 if held > HELD_PAIRS:
                     yield _distinct(a, b)
-                    a, b, held = [], [], 0
+                    a.clear(), b.clear()
+                    held = 0
         if a:
             yield _distinct(a, b)
 
@@ -257,7 +297,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = [batch.column(i).to_numpy() for i in range(4)]
         if held is not None:
             now = [np.concatenate(x) for x in zip(held, now)]
-        cut = np.searchsorted(now[0], now[0][-1] & ~1)  # the last key may go on in the next batch
+        cut = np.searchsorted(now[0], now[0][-1] & ~3)  # the last key may go on in the next batch
         held = [x[cut:].copy() for x in now]
         if cut:
             yield from pairs(*(x[:cut] for x in now))
@@ -398,20 +438,23 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     ``WORDS_AN_EDIT`` of the longer line may be edited; ``distance`` is then ``threshold`` and the word edits.
 
     Reads doc_id and text alone. A null doc_id is left out, a null or empty text has no lines; rows of one
-    doc_id with equal lines are one document; an empty table gives no rows.
+    doc_id with equal lines are one document, those with other lines count beside each other; an empty table gives no rows.
+    Keys of very many lines are compared in blocks by several tasks; a long text is split like any.
     """
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text")).where("doc_id is not null")
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("of")).where("doc_id is not null")
     least = 1 if whole else min_bytes
     frequent = frequent_runs(source) if whole else None
-    raw = written(source.mapInArrow(_lines(least, _places), "h long, doc_id long, line_no int"), "lines")
-    lines = written(raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")), "distinct-lines")
-    keys = source.mapInArrow(_lines(least, _segments(threshold, min_bytes, frequent)), "key long, h long, place long, sketch long")
-    met = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_meet, "h long, other long").distinct()
+    raw = written(source.mapInArrow(_lines(least, _places), "h long, doc_id long, line_no int, of long"), "lines")
+    lines = raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "of")).alias("first"), F.count("*").alias("n"))
+    lines = written(lines.select("h", F.struct("first.doc_id", "first.line_no").alias("first"), "first.of", "n"), "distinct-lines")
+    hot = hot_keys(source, least, threshold, min_bytes, frequent)
+    keys = source.mapInArrow(_lines(least, _segments(threshold, min_bytes, frequent, hot)), "key long, h long, place long, sketch long")
+    met = keys.repartition(F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(_meet, "h long, other long").distinct()
     met = written(met, "line-pairs")
-    needed = met.select("h").union(met.select("other")).distinct().join(lines.select("h", "first"), "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"))
-    wanted = needed.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("w"))
+    needed = met.select("h").union(met.select("other")).distinct().join(lines.select("h", "first", "of"), "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "of")
+    wanted = needed.groupBy("doc_id", "of").agg(F.collect_list(F.struct("line_no", "h")).alias("w"))
     texts = (
-        source.join(wanted, "doc_id").select(F.split("text", "\n").alias("l"), F.explode("w").alias("w")).where("w.line_no < size(l)")
+        source.join(wanted, ["doc_id", "of"]).select(F.split("text", "\n").alias("l"), F.explode("w").alias("w")).where("w.line_no < size(l)")
         .select("w.h", _trimmed("element_at(l, w.line_no + 1)").alias("line")).groupBy("h").agg(F.max("line").alias("line"))
     )
     texts = written(texts, "line-texts")
@@ -424,11 +467,11 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     repeats = raw.select("h", "doc_id", "line_no").join(firsts.join(nearest, "h", "left").join(lines.where("n > 1").select("h", F.lit(True).alias("many")), "h", "left").where("many or near is not null"), "h")
     exact = F.struct("doc_id", "line_no") > F.col("first")
     return repeats.where(exact | F.col("near").isNotNull()).select(
-        "doc_id", "line_no",
+        "h", "doc_id", "line_no",
         F.when(F.col("near").isNotNull(), F.col("near.keeper.doc_id")).otherwise(F.col("first.doc_id")).alias("keeper_doc_id"),
         F.when(F.col("near").isNotNull(), F.col("near.keeper.line_no")).otherwise(F.col("first.line_no")).alias("keeper_line_no"),
         F.coalesce("near.distance", F.lit(0)).alias("distance"),
-    ).distinct()
+    ).distinct().drop("h")
 
 
 def without_repeats(docs: DataFrame, **kw) -> DataFrame:

@@ -378,6 +378,37 @@ def test_repeated_lines_equal_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(db.execute(linededup.SQL).fetchall()) and got
 
 
+def lines_by_sql(docs):
+    import duckdb
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    return sorted(db.execute(linededup.SQL).fetchall())
+
+
+def test_documents_of_one_id_and_other_lines(spark):
+    x, y = "a line of forty bytes or more, that is long", "another line altogether, and long enough too"
+    docs = [(1, x), (1, y), (2, x.replace("forty", "fifty")), (3, x), (3, y + "\n" + x)]
+    got = linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == lines_by_sql(docs) and len(got) >= 4
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_hot_segments_go_in_blocks_and_lose_nothing(spark, monkeypatch, whole):
+    head = "every one of these lines begins with the same long words and ends in "
+    docs = [(d, head + f"{d * 7919 % 1000:03d} and {'so on ' * (d % 3)}until the end of it") for d in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    plain = sorted(map(tuple, linededup.repeated_lines(df, whole=whole).collect()))
+    monkeypatch.setattr(linededup, "SAMPLE", 1)
+    monkeypatch.setattr(linededup, "BLOCK", 25)
+    source = df.select("doc_id", "text", F.xxhash64("text").alias("of"))
+    assert len(linededup.hot_keys(source, 1, 2, 40, linededup.frequent_runs(source) if whole else None)[0]) > 0
+    assert sorted(map(tuple, linededup.repeated_lines(df, whole=whole).collect())) == plain
+    if not whole:
+        assert plain == lines_by_sql(docs) and len(plain) > 100
+
+
 def test_lines_odd_rows(spark):
     docs = odd(spark).withColumn("text", F.when(F.col("doc_id").isin(4, 5), F.concat("text", F.lit(" and more so that it is long enough"))).otherwise(F.col("text"))).withColumn("n_chars", F.length("text").cast("long"))
     got = linededup.repeated_lines(docs).collect()
