@@ -78,6 +78,21 @@ def test_minhash_equals_all_pairs(spark):
     assert sorted(map(tuple, got)) == brute_groups(docs)
 
 
+def test_long_lists_go_in_blocks_and_lose_nothing(spark, monkeypatch):
+    r = random.Random(31)
+    shared = prose(r, 60)
+    docs = [(d, shared + " " + prose(r, 1 + d % 40)) for d in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "BLOCK", 10)
+    assert sorted(map(tuple, minhash.near_duplicates(df).collect())) == brute_groups(docs)
+
+
+def test_coordinates_are_not_shared_by_chance():
+    r = random.Random(32)
+    rows, sig = minhash.signatures([prose(r, 400) for _ in range(300)])
+    assert len(rows) == 300 and len(np.unique(sig)) == sig.size and sig.max() >> U64(47) and sig.max() < 1 << 48
+
+
 def test_minhash_recall_of_close_pairs(spark):
     docs = copies(7)
     group = dict(map(tuple, minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
