@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .shared import fresh_path, written
 
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, PLAIN = b"\x1f\x8b\x08", b"WARC/1."
 SPLIT_BYTES = 32 << 20
 READ_BYTES = 1 << 20
 BATCH_BYTES = 4 << 20
@@ -78,21 +78,30 @@ class Range(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def _header(data: bytes, at: int) -> tuple[dict[bytes, bytes], int, int] | None:
+    """(headers, start and size of the block) of the record at ``at``; None where it has no end, or no length."""
+    end = data.find(b"\r\n\r\n", at)
+    if data[at : at + 7] != b"WARC/1." or end < 0:
+        return None
+    lines = data[at:end].split(b"\r\n")[1:]
+    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
+    size = head.get(b"content-length", b"0")
+    return (head, end + 4, int(size)) if size.isdigit() else None
+
+
 def _records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
-    """(headers, block) of each record in one member."""
+    """(headers, block) of each record in one member, up to what is no record."""
     at = 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
             at += 2
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if data[at : at + 7] != b"WARC/1." or end < 0:
-            raise ValueError("not a WARC record")
-        lines = data[at:end].split(b"\r\n")[1:]
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(b":") for x in lines)}
-        size = int(head.get(b"content-length", b"0"))
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        got = _header(data, at)
+        if got is None:
+            return
+        head, start, size = got
+        yield head, data[start : start + size]
+        at = start + size
 
 
 class Members:
@@ -106,7 +115,7 @@ class Members:
         if at >= self.size:
             return False
         self.file.seek(at)
-        piece = self.file.read(min(READ_BYTES, self.size - at))
+        piece = self.file.read(min(max(READ_BYTES, len(self.buf)), self.size - at))  # at least doubled: a long member isn't copied over and over
         self.buf += piece
         return bool(piece)
 
@@ -120,13 +129,13 @@ class Members:
             pass
         return self.buf if self.buf else None
 
-    def candidate(self, offset: int, end: int) -> int | None:
-        """The first gzip magic at or after ``offset`` and before ``end``."""
+    def candidate(self, offset: int, end: int, magic: bytes = MAGIC) -> int | None:
+        """The first ``magic``, that of gzip, at or after ``offset`` and before ``end``."""
         while True:
-            found = self.buf.find(MAGIC, offset - self.base)
+            found = self.buf.find(magic, offset - self.base)
             if 0 <= found:
                 return self.base + found if self.base + found < end else None
-            offset = max(offset, self.base + len(self.buf) - 2)
+            offset = max(offset, self.base + len(self.buf) - len(magic) + 1)
             if offset >= end or not self._more():
                 return None
 
@@ -151,6 +160,39 @@ class Members:
         return (b"".join(parts), offset + fed - len(unpack.unused_data)) if seen[:7] == b"WARC/1." else None
 
 
+    def plain(self, offset: int) -> tuple[dict[bytes, bytes], bytes, int] | None:
+        """(headers, block, offset after it) of the uncompressed record at ``offset``; None where it is none, or no record nor the file's end follows it."""
+        if self.at(offset) is None:
+            return None
+        while self.buf.find(b"\r\n\r\n") < 0 and len(self.buf) < READ_BYTES and self._more():
+            pass
+        got = _header(self.buf, 0)
+        if got is None or not {b"warc-type", b"warc-record-id", b"content-length"} <= got[0].keys():
+            return None
+        head, start, size = got
+        while len(self.buf) < start + size + 4 + len(PLAIN) and self._more():
+            pass
+        rest = self.buf[start + size : start + size + 4 + len(PLAIN)]
+        if len(self.buf) < start + size or rest.strip(b"\r\n")[: len(PLAIN)] not in (PLAIN, b""):
+            return None
+        return head, self.buf[start : start + size], offset + start + size
+
+
+def read_plain(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
+    """``read_range`` of a file that isn't compressed."""
+    members, at = Members(file, start, size), start
+    while at < end:
+        place = members.candidate(at, end, PLAIN)
+        if place is None:
+            return
+        got = members.plain(place)
+        if got is None:
+            at = place + 1
+            continue
+        head, block, at = got
+        yield place, head, block
+
+
 def read_range(file, size: int, start: int, end: int) -> Iterator[tuple[int, dict[bytes, bytes], bytes]]:
     """(offset, headers, block) of the records whose member starts in [start, end); the last may end beyond."""
     members, at = Members(file, start, size), start
@@ -191,8 +233,9 @@ class WarcReader(DataSourceReader):
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
         rows, held = [], 0
         with system.open_input_file(place) as file:
-            for offset, head, block in read_range(file, size, partition.start, partition.end):
-                kind = head.get(b"warc-type", b"").decode()
+            reads = read_plain if file.read(len(PLAIN)) == PLAIN else read_range
+            for offset, head, block in reads(file, size, partition.start, partition.end):
+                kind = head.get(b"warc-type", b"").decode("utf-8", "replace")
                 name = head.get(b"warc-record-id", b"").strip(b"<>")
                 html = None
                 if kind == "response":
@@ -228,7 +271,10 @@ def read_warc(spark: SparkSession, paths: str, split_bytes: int = SPLIT_BYTES) -
 
     A task looks in its byte range for gzip magic, takes a candidate for a member where it decodes to a WARC
     header, and owns the records whose member starts inside, so every record is read once whatever the ranges. Bytes that are no
-    member are passed over. Missing headers are null; a file without records gives no rows.
+    member are passed over, as is what is left of a member from a record without end or length on. A file that begins with
+    a record is read uncompressed in the same way: a record must have the headers that all have and be followed by another or the file's end
+    (a whole record quoted within another's block, in a range that begins inside that block, can't be told from one).
+    Missing headers are null; repeated records are read each; a long record is held whole by its task; a file without records gives no rows.
     """
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("splitBytes", split_bytes).load(paths)
