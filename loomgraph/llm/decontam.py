@@ -18,6 +18,9 @@ SIMILARITY = 0.5
 #: Bytes of benchmark text up to which its index is built once and sent to every task; a larger benchmark goes in parts.
 PART_BYTES = 16_000_000
 
+#: Shingles whose votes a task holds at a time, beside those of one window.
+VOTES = 32_768
+
 _BITS = np.arange(64, dtype=U64)
 
 
@@ -146,7 +149,8 @@ class Benchmark:
         prints = np.empty(len(starts), U64)
         order = np.argsort(starts, kind="stable")
         starts, ends, rows = starts[order], ends[order], rows[order]
-        edge = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        # votes are held for one row at a time, and for so many of its shingles
+        edge = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (starts[1:] // VOTES != starts[:-1] // VOTES))))
         for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(rows)]):
             low, high = starts[a], ends[a:b].max()
             votes = _signed(h[low:high], w[low:high])
