@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textkit import _WORD, U64, PrefixHash, mix, ragged, slices, text_column
+from .textkit import _WORD, U64, PrefixHash, give_back, mix, ragged, slices, text_column
 
 _ALL = (1 << 64) - 1
 
@@ -303,6 +303,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pairs(*(x[:cut] for x in now))
     if held is not None:
         yield from pairs(*held)
+    give_back()
 
 
 def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -416,6 +417,7 @@ def _verify(tau: int, least: int, words: bool):
                 d[i : i + 256] = [distance(x.encode("utf-8", "surrogatepass"), y.encode("utf-8", "surrogatepass")) for x, y in pairs]
             keep = pa.array(d >= 0)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(2).filter(keep), pa.array(d).filter(keep)], ["h", "to", "distance"])
+        give_back()
 
     return run
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import without, written
-from .textkit import U64, Words, mix, slices, text_column
+from .textkit import U64, Words, give_back, mix, slices, text_column
 
 COORDINATES = 128
 MATCHES = 70
@@ -139,6 +139,7 @@ def _collide(k: int, matches: int):
                 yield lists(*(x[:cut] for x in now))
         if held is not None:
             yield lists(*held)
+        give_back()
 
     return run
 

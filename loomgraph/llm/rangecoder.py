@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZER, TOKENIZER_DIR, Encoder
-from .textkit import U64, ragged, slices, text_column
+from .textkit import SLICE_UNITS, U64, ragged, slices, text_column
 
 #: Ids in a block, but for the last of a row.
 BLOCK_TOKENS = 16_384
@@ -453,7 +453,7 @@ def _pack(path: str):
         held, count = [], 0
         for b in batches:
             doc_ids = b.column(0).to_pylist()
-            for first, texts in slices(text_column(b)):
+            for first, texts in slices(text_column(b), 2 * SLICE_UNITS):
                 ids, counts, _ = encoder.encode(texts)
                 held += zip(doc_ids[first : first + len(texts)], np.split(ids, np.cumsum(counts)[:-1]))
                 count += len(ids)
