@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -36,3 +37,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
         named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: one job, and lost executors cost no recomputation beyond it."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -102,9 +102,6 @@ def test_communities_of_two_cliques(spark):
     assert t.is_bridge and len(t.others) == 1 and communities.topology(g, c, "a2").first().is_bridge is False
     assert all(r.internal_edges == 45 and r["size"] == 10 for r in communities.community_summary(g, c).collect())
     assert communities.detected(people(spark, [("a", "K", "b")], "ab")) is None
-    w = g.edges.where("relation_type = 'KNOWS'").select(F.col("source").alias("src"), F.col("target").alias("dst"))
-    raw = communities.propagated(w.union(w.select("dst", "src")).withColumn("w", F.lit(1.0)))
-    assert raw.select("raw").distinct().count() <= 2
 
 
 def test_batches_equal_a_loop(spark):
@@ -205,3 +202,31 @@ def test_rules_keep_the_whole_sentence():
     sentence = "There " + "and so on " * 40 + "Anna Smith met Robert Jones on 2024-05-06."
     found = json.loads(Rules().answer("x\nTEXT:\n" + sentence))
     assert found["relations"][0]["evidence"] == sentence and found["entities"][0]["context"] == sentence
+
+
+def _modularity(pairs, label):
+    total = len(pairs)
+    degree, inside = {}, 0
+    for a, b in pairs:
+        degree[label[a]] = degree.get(label[a], 0) + 1
+        inside += label[a] == label[b]
+    return inside / total - sum((d / total) ** 2 for d in degree.values())
+
+
+def test_communities_of_cliques_stars_and_rings(spark):
+    import random
+
+    r = random.Random(3)
+    edges = [(f"a{i}", f"a{j}") for i in range(8) for j in range(i)] + [(f"b{i}", f"b{j}") for i in range(9) for j in range(i)] + [("a0", "b0")]
+    edges += [("hub", f"leaf{i:03d}") for i in range(300)] + [("leaf000", "b1")]
+    groups = [[f"g{k}_{i}" for i in range(12)] for k in range(6)]
+    edges += [tuple(r.sample(g, 2)) for g in groups for _ in range(40)] + [(groups[k][0], groups[k - 1][1]) for k in range(6)]
+    pairs = [p for a, b in set(edges) for p in ((a, b), (b, a))]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    label = {x.id: x.raw for x in communities.raw_communities(df).collect()}
+    assert {label[f"a{i}"] for i in range(8)} == {"a0"} and {label[f"b{i}"] for i in range(9)} == {"b0"}
+    assert len({label[f"leaf{i:03d}"] for i in range(1, 300)}) == 1
+    truth = {v: v[:2] if v[0] == "g" else v[0] for p in pairs for v in p}
+    assert _modularity(pairs, label) > 0.9 * _modularity(pairs, truth)
+    again = {x.id: x.raw for x in communities.raw_communities(df.repartition(3)).collect()}
+    assert again == label
