@@ -54,7 +54,7 @@ def is_placeholder(label: Column) -> Column:
 
 def support_documents(c: Column) -> Column:
     """A ``;``-separated string as a list without blanks."""
-    return F.filter(F.transform(F.split(c, ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def support_count(c: Column) -> Column:

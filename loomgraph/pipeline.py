@@ -63,7 +63,9 @@ def run_build(spark: SparkSession, output: str, domain: Domain | None = None, re
     g = tables.tables(spark, f"{output}/graph")
     found = com.detected(g)
     exports.save_communities(empty(spark, COMMUNITIES) if found is None else found, f"{output}/communities.json")
-    tables.save_yaml(review_flags(g, review_threshold, domain.review_types() if domain else ()), "relations", f"{output}/relation_review.yaml", review_threshold=review_threshold)
+    path = f"{output}/relation_review.yaml"
+    flags = review_flags(g, review_threshold, domain.review_types() if domain else ())
+    tables.save_yaml(resolution.new_reviews(tables.reviews(spark, path), flags), "relations", path, review_threshold=review_threshold)  # decisions stay
     return g
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -15,7 +16,8 @@ from ..operators import aggregate, clean, communities, flat, resolution, stories
 from ..schemas import MENTIONED_IN, Graph
 from ..session import checkpoint_folder
 from ..sources.ingest import visible_text
-from ..sources.tables import stale
+from ..sinks import exports
+from ..sources.tables import save_tables, stale, tables
 from . import projections as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,11 +237,6 @@ def review_flags(spark, sf):
     return f.select("source_id", "source_name", "target_id", "target_name", _r("confidence").alias("confidence"), why.alias("why"))
 
 
-@query(f"WITH {EDGES} SELECT {_EDGE_OUT} FROM edges WHERE source<>target")
-def self_loops(spark, sf):
-    return _edge_columns(clean.without_loops(P.graph(spark, sf).edges))
-
-
 # -- read paths
 
 
@@ -255,7 +252,7 @@ def top_hubs(spark, sf):
 
 _HOP = "WITH {n},{e},u AS (SELECT source AS a,target AS b FROM edges UNION ALL SELECT target,source FROM edges),v AS ({ids}) SELECT {o} FROM edges WHERE source IN (SELECT * FROM v) AND target IN (SELECT * FROM v)"
 _V1 = "SELECT 'supplier:1' UNION SELECT b FROM u WHERE a='supplier:1'"
-_V2 = "SELECT 'nation:3' UNION SELECT b FROM u WHERE a='nation:3' UNION SELECT y.b FROM u x JOIN u y ON x.b=y.a WHERE x.a='nation:3'"
+_V2 = "SELECT 'nation:3' UNION SELECT b FROM u WHERE a='nation:3' UNION SELECT b FROM u WHERE a IN (SELECT DISTINCT b FROM u WHERE a='nation:3')"
 
 
 @query(_HOP.format(n=NODES, e=EDGES, ids=_V1, o=_EDGE_OUT))
@@ -456,12 +453,6 @@ def pages_joined(spark, sf):
     return c.select("conv_id", T.pages_text(F.col("p")).alias("text")).where("text <> ''")
 
 
-@query("SELECT doc_id,len(regexp_extract_all(text,'(?i)(is mentioned in|served as|in the context of)'))::BIGINT AS n FROM documents")
-def banned_phrases(spark, sf):
-    found = F.filter(T.filler_phrases(F.col("text")), lambda p: F.lower(p).isin("is mentioned in", "served as", "in the context of"))
-    return P.table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n"))
-
-
 @query("SELECT doc_id,CASE WHEN source='' OR source IS NULL THEN 'no metadata' WHEN source<>(SELECT min(source) FROM documents) THEN 'model changed' WHEN lang<>'en' THEN 'domain changed' WHEN n_chars<>100 THEN 'chunk size changed' END AS reason FROM documents")
 def staleness_split(spark, sf):
     d = P.table(spark, sf, "documents")
@@ -500,3 +491,176 @@ def text_extractions(spark, sf):
     e = extracted(P.table(spark, sf, "documents").select("doc_id", "text"), bundled("general"))
     return e.select("document_id", "chunks_processed", F.size("entities").alias("entities"), F.size("relations").alias("relations"))
 
+
+# -- further read paths, reports and decisions
+
+
+@query("SELECT l_orderkey||'-'||l_linenumber AS edge_key,'k:'||l_suppkey%20 AS source,'k:'||l_partkey%20 AS target FROM lineitem WHERE l_suppkey%20<>l_partkey%20")
+def self_loops(spark, sf):
+    k = lambda c: F.concat(F.lit("k:"), F.pmod(F.col(c), F.lit(20)).cast("string"))
+    e = P.table(spark, sf, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("edge_key"), k("l_suppkey").alias("source"), k("l_partkey").alias("target"))
+    return clean.without_loops(e)
+
+
+_DEGREE = "x AS (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges),d AS (SELECT id,count(*) AS degree FROM x GROUP BY 1),rk AS (SELECT nodes.id,name,entity_type,coalesce(degree,0) AS degree FROM nodes LEFT JOIN d USING (id))"
+
+
+@query(f"WITH {NODES},{EDGES},{_DEGREE} SELECT id,degree FROM rk ORDER BY degree DESC,id LIMIT 50")
+def overview_entities(spark, sf):
+    return stories.overview(P.graph(spark, sf))[0].select("id", "degree")
+
+
+@query(f"WITH {NODES},{EDGES},{_DEGREE} SELECT id,degree FROM rk WHERE degree>=3 ORDER BY degree DESC,id LIMIT 250")
+def entities_to_describe(spark, sf):
+    return stories.to_describe(P.graph(spark, sf)).select("id", "degree")
+
+
+def _dated(spark, sf) -> Graph:
+    """Orders as dated entities, and suppliers whose shipments are told with their date."""
+    nothing = F.create_map().cast("map<string,string>")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    orders = P.table(spark, sf, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("ORDER").alias("entity_type"), F.concat(F.lit("Order "), F.pmod("o_orderkey", F.lit(500)).cast("string")).alias("name"), F.create_map(F.lit("date"), day("o_orderdate")).alias("attributes"))
+    suppliers = P.table(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("SUPPLIER").alias("entity_type"), F.col("s_name").alias("name"), nothing.alias("attributes"))
+    li = P.table(spark, sf, "lineitem")
+    told = F.when(F.col("l_returnflag") == "N", F.concat(F.lit("shipped on "), day("l_shipdate"), F.lit(" with the rest"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("some time in "), F.date_format("l_shipdate", "yyyy"))).otherwise(F.lit("never"))
+    e = li.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("target"), F.lit("SHIPS_TO").alias("relation_type"), F.format_string("%s-%s", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("edge_key"), told.alias("evidence"))
+    return Graph(orders.unionByName(suppliers), e)
+
+
+@query("""WITH e AS (SELECT l_suppkey,l_orderkey,arg_min(CASE l_returnflag WHEN 'N' THEN strftime(l_shipdate,'%Y-%m-%d') WHEN 'A' THEN strftime(l_shipdate,'%Y') END,l_orderkey||'-'||l_linenumber) FILTER (true) AS date,
+ arg_min(l_returnflag,l_orderkey||'-'||l_linenumber) AS flag,min(l_orderkey||'-'||l_linenumber) AS k FROM lineitem GROUP BY 1,2),
+r AS (SELECT strftime(o_orderdate,'%Y-%m-%d') AS date,'Order '||o_orderkey%500 AS name,'ORDER: Order '||o_orderkey%500 AS event,0 AS s,'order:'||o_orderkey AS o FROM orders
+ UNION ALL SELECT date,s_name,s_name||' ships to Order '||l_orderkey%500,1,k FROM e JOIN supplier ON s_suppkey=l_suppkey WHERE flag<>'R')
+SELECT date,name,arg_min(event,(s,o)) AS event FROM r GROUP BY 1,2""")
+def report_timeline(spark, sf):
+    return stories.timeline(_dated(spark, sf))
+
+
+_YEAR_SQL, _DATE_SQL = T.YEAR.replace("'", "''"), T.FULL_DATE.replace("'", "''")
+
+
+@query(f"WITH p AS (SELECT p_partkey,p_type||CASE p_partkey%5 WHEN 0 THEN ' made 2'||'0'||lpad((p_partkey%30)::VARCHAR,2,'0')||'-03-'||lpad((p_partkey%28+1)::VARCHAR,2,'0')||'.' WHEN 1 THEN ' since 19'||lpad((p_partkey%100)::VARCHAR,2,'0')||', and so on' WHEN 2 THEN ' on May '||p_partkey%28+1||', 1999' WHEN 3 THEN ' no 12019 date' ELSE ' 3/4/2011' END AS t FROM part) SELECT p_partkey,coalesce(nullif(regexp_extract(t,'{_DATE_SQL}',1),''),nullif(regexp_extract(t,'{_YEAR_SQL}',1),'')) AS date FROM p")
+def date_patterns(spark, sf):
+    k, two = F.col("p_partkey"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    tail = F.when(k % 5 == 0, F.concat(F.lit(" made 20"), two(k % 30), F.lit("-03-"), two(k % 28 + 1), F.lit("."))).when(k % 5 == 1, F.concat(F.lit(" since 19"), two(k % 100), F.lit(", and so on")))
+    tail = tail.when(k % 5 == 2, F.concat(F.lit(" on May "), (k % 28 + 1).cast("string"), F.lit(", 1999"))).when(k % 5 == 3, F.lit(" no 12019 date")).otherwise(F.lit(" 3/4/2011"))
+    return P.table(spark, sf, "part").select("p_partkey", T.date_in(F.concat("p_type", tail)).alias("date"))
+
+
+_FILLERS = "+".join("len(regexp_extract_all(text,'(?i)({})'))".format(p.replace("'", "''")) for p in T.FILLER)
+
+
+@query(f"WITH d AS (SELECT doc_id,text||CASE doc_id%6 WHEN 0 THEN ' Highlighting this, it SERVED AS one; suggesting that. This indicates' WHEN 1 THEN ' played a pivotal role, as evidenced by records show' WHEN 2 THEN ' is noted for underscoring and is a key figure' ELSE '' END AS text FROM documents) SELECT doc_id,({_FILLERS})::BIGINT AS n FROM d")
+def banned_phrases(spark, sf):
+    more = F.when(F.col("doc_id") % 6 == 0, " Highlighting this, it SERVED AS one; suggesting that. This indicates").when(F.col("doc_id") % 6 == 1, " played a pivotal role, as evidenced by records show").when(F.col("doc_id") % 6 == 2, " is noted for underscoring and is a key figure").otherwise("")
+    return P.table(spark, sf, "documents").select("doc_id", F.size(T.filler_phrases(F.concat("text", more))).cast("long").alias("n"))
+
+
+@query("""SELECT p_partkey,array_to_string(list_filter(list_transform(string_split(p_type||' ; ;'||p_brand||';',';'),lambda x: trim(x)),lambda x: x<>''),'|') AS documents,
+greatest(1,coalesce(try_cast(CASE WHEN p_size%3=0 THEN 'many' ELSE (p_size-10)::VARCHAR END AS INTEGER),1))::BIGINT AS support,array_to_string(list_transform(list_filter([' '||p_brand,'  ',p_type],lambda x: trim(x)<>''),lambda x: upper(trim(x))),'|') AS types,
+CASE p_size%4 WHEN 0 THEN p_brand||'|x' WHEN 1 THEN p_type WHEN 2 THEN p_brand ELSE '' END AS aliases FROM part""")
+def coerced_values(spark, sf):
+    size = F.col("p_size")
+    known = F.when(size % 4 == 0, F.create_map(F.lit("aliases"), F.to_json(F.array("p_brand", F.lit("x"))))).when(size % 4 == 1, F.create_map(F.lit("aliases"), F.col("p_type"))).when(size % 4 == 2, F.create_map(F.lit("aliases"), F.lit(""), F.lit("also_known_as"), F.col("p_brand"))).otherwise(F.create_map().cast("map<string,string>"))
+    return P.table(spark, sf, "part").select(
+        "p_partkey", F.array_join(T.support_documents(F.concat("p_type", F.lit(" ; ;"), "p_brand", F.lit(";"))), "|").alias("documents"), T.support_count(F.when(size % 3 == 0, "many").otherwise((size - 10).cast("string"))).cast("long").alias("support"),
+        F.array_join(T.type_names(F.array(F.concat(F.lit(" "), "p_brand"), F.lit("  "), "p_type")), "|").alias("types"), F.array_join(T.aliases(known), "|").alias("aliases"))
+
+
+@query("SELECT label,row_number() OVER (ORDER BY regexp_replace(label,'[0-9]+$',''),try_cast(nullif(regexp_extract(label,'([0-9]+)$',1),'') AS INTEGER) NULLS FIRST,label)::BIGINT AS place,regexp_full_match(label,'Community [0-9]+') AS placeholder FROM (SELECT DISTINCT CASE WHEN p_size%7=0 THEN p_brand ELSE 'Community '||p_size END AS label FROM part)")
+def label_order(spark, sf):
+    labels = P.table(spark, sf, "part").select(F.when(F.col("p_size") % 7 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("Community "), F.col("p_size").cast("string"))).alias("label")).distinct()
+    place = F.row_number().over(Window.orderBy(*T.community_order(F.col("label"))))
+    return labels.select("label", place.cast("long").alias("place"), T.is_placeholder(F.col("label")).alias("placeholder"))
+
+
+_VIEW = "v AS (SELECT 'nation:1' AS id UNION SELECT b FROM (SELECT source AS a,target AS b FROM edges UNION ALL SELECT target,source FROM edges) WHERE a='nation:1')"
+
+
+@query(f"WITH {NODES},{EDGES},{_VIEW} SELECT source,relation_type,target FROM edges JOIN nodes s ON s.id=source JOIN nodes t ON t.id=target WHERE source IN (SELECT id FROM v) AND target IN (SELECT id FROM v) AND edges.confidence>=0.3 AND s.confidence>=0.3 AND t.confidence>=0.3")
+def view_pipeline(spark, sf):
+    name = P.table(spark, sf, "nation").where("n_nationkey = 1").first().n_name
+    return views.view(P.graph(spark, sf), who=name.lower(), least=0.3).edges.select("source", "relation_type", "target")
+
+
+@query(f"WITH {NODES},{EDGES},{_DEGREE} SELECT id,degree,row_number() OVER (ORDER BY degree DESC,id)::BIGINT AS rank FROM rk WHERE contains(lower(name),'blue') OR id IN (SELECT 'part:'||p_partkey FROM part WHERE contains(lower(p_type),'blue'))")
+def query_candidates(spark, sf):
+    return views.candidates(P.graph(spark, sf), "BLUE").select("id", F.col("degree").cast("long").alias("degree"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {NODES},{EDGES},{_DEGREE} SELECT b AS id,degree FROM (SELECT DISTINCT b FROM (SELECT source AS a,target AS b FROM edges UNION ALL SELECT target,source FROM edges) WHERE a='nation:2') JOIN d ON d.id=b ORDER BY degree DESC,id LIMIT 25")
+def focus_neighbours(spark, sf):
+    return views.top_neighbours(P.graph(spark, sf), "nation:2").select("id", "degree")
+
+
+@query(f"WITH {NODES},{EDGES},{_DEGREE},k AS (SELECT id FROM rk WHERE entity_type IN ('SUPPLIER','PART','LOCATION') AND degree>=5) SELECT {_EDGE_OUT} FROM edges WHERE relation_type IN ('SUPPLIES','LOCATED_IN') AND source IN (SELECT id FROM k) AND target IN (SELECT id FROM k)")
+def faceted_view(spark, sf):
+    return _edge_columns(views.faceted(P.graph(spark, sf), entity_types=("SUPPLIER", "PART", "LOCATION"), relation_types=("SUPPLIES", "LOCATED_IN"), min_degree=5).edges)
+
+
+@query(f"WITH {NODES},{EDGES},h AS (SELECT id FROM nodes WHERE contains(lower(name),lower((SELECT n_name FROM nation WHERE n_nationkey=3)))),u AS (SELECT source AS a,target AS b FROM edges UNION ALL SELECT target,source FROM edges) SELECT id,id IN (SELECT id FROM h) AS matched FROM (SELECT id FROM h UNION SELECT b FROM u WHERE a IN (SELECT id FROM h))")
+def viewer_search(spark, sf):
+    return views.highlighted(P.graph(spark, sf), P.table(spark, sf, "nation").where("n_nationkey = 3").first().n_name)
+
+
+@query(f"WITH {EDGES} SELECT max(d) AS max_documents,CASE WHEN (SELECT count(*) FROM edges)<100 THEN 1 ELSE 2 END AS min_degree FROM (SELECT 1::BIGINT AS d)")
+def viewer_defaults(spark, sf):
+    return views.view_defaults(P.graph(spark, sf)).select(F.col("max_documents").cast("long").alias("max_documents"), "min_degree")
+
+
+@query(f"WITH {EDGES} SELECT 'in' AS direction,relation_type FROM edges WHERE source='nation:1' AND target=(SELECT 'region:'||n_regionkey FROM nation WHERE n_nationkey=1) GROUP BY ALL")
+def trail_between(spark, sf):
+    region = P.table(spark, sf, "nation").where("n_nationkey = 1").first().n_regionkey
+    return views.between(P.graph(spark, sf), f"region:{region}", "nation:1")
+
+
+def _proposals(spark, sf) -> DataFrame:
+    """A proposal for each part: the least of its name and brand takes it in; some aren't confirmed, some name what is no node."""
+    p = P.table(spark, sf, "part")
+    least = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("k"))
+    ident = lambda c: F.concat(F.lit("part:"), c.cast("string"))
+    member = F.struct(ident(F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), T.clamped(F.col("p_retailprice") / 2500).alias("confidence"))
+    status = F.when(F.col("p_partkey") % 3 == 0, "DRAFT").otherwise("CONFIRMED")
+    return p.join(least, ["p_name", "p_brand"]).select(ident(F.when(F.col("p_partkey") % 5 == 0, -1).otherwise(F.col("k"))).alias("canonical_id"), F.col("p_name").alias("canonical_name"), F.lit("PART").alias("entity_type"), status.alias("status"), F.array(member).alias("members"), F.lit("").alias("reason"), F.col("p_partkey").alias("seq"))
+
+
+@query("SELECT 'part:'||p_partkey AS member,'part:'||k AS canonical FROM (SELECT p_partkey,min(p_partkey) OVER (PARTITION BY p_name,p_brand) AS k FROM part) WHERE p_partkey<>k AND p_partkey%3<>0 AND p_partkey%5<>0")
+def merge_map(spark, sf):
+    return resolution.merge_map(_proposals(spark, sf), P.nodes(spark, sf)).select("member", "canonical")
+
+
+@query("SELECT p_partkey AS seq,CASE WHEN p_partkey%3<>0 OR least(1,p_retailprice/2500)>=0.5 THEN 'CONFIRMED' ELSE 'DRAFT' END AS status FROM part")
+def auto_merges(spark, sf):
+    return resolution.auto_merges(_proposals(spark, sf), 0.5).select("seq", "status")
+
+
+@query("SELECT 'c'||o_custkey AS source_id,'o'||o_orderkey AS target_id,CASE WHEN o_orderkey%2=0 THEN 'REJECTED' ELSE 'DRAFT' END AS status FROM orders")
+def appended_reviews(spark, sf):
+    o = P.table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("target_id"), F.lit("PLACED").alias("relation_type"), "o_orderkey")
+    old = o.where("o_orderkey % 2 = 0").withColumn("status", F.lit("REJECTED")).drop("o_orderkey")
+    return resolution.new_reviews(old, o.withColumn("status", F.lit("DRAFT")).drop("o_orderkey")).select("source_id", "target_id", "status")
+
+
+@query(f"WITH {NODES},{EDGES} SELECT source,target,relation_type,round(confidence,6) AS confidence,support_count,(SELECT string_agg(DISTINCT source_document,'; ' ORDER BY source_document) FROM mentions m WHERE m.source=e.source AND m.target=e.target AND m.relation_type=e.relation_type) AS documents,support_doc_count,evidence,source_document FROM edges e")
+def exported_edges(spark, sf):
+    e = exports.edge_rows(P.graph(spark, sf).edges)
+    documents = F.array_join(F.array_sort(F.split("support_documents", "; ")), "; ")
+    return e.select("source", "target", "relation_type", _r("confidence").alias("confidence"), F.col("support_count").cast("long").alias("support_count"), documents.alias("documents"), F.col("support_doc_count").cast("long").alias("support_doc_count"), "evidence", "source_document")
+
+
+@query(f"WITH {NODES} SELECT id,name,entity_type,round(confidence,9) AS confidence,doc AS source_documents,'' AS description FROM nodes")
+def exported_nodes(spark, sf):
+    return exports.node_rows(P.graph(spark, sf)).select("id", "name", "entity_type", F.round("confidence", 9).alias("confidence"), "source_documents", "description")
+
+
+@query(f"WITH {NODES},{EDGES} SELECT target AS entity_id,count(*) AS cells FROM edges GROUP BY 1")
+def loaded_graph(spark, sf):
+    path = f"{checkpoint_folder(spark).rstrip('/')}/loomgraph-tables-{uuid.uuid4().hex}"
+    save_tables(P.graph(spark, sf), path)
+    return tables(spark, path).edges.groupBy(F.col("target").alias("entity_id")).agg(F.count("*").alias("cells"))
+
+
+@query()
+def trade_communities(spark, sf):
+    g = _trades(spark, sf).edges
+    return communities.raw_communities(g.select(F.col("source").alias("src"), F.col("target").alias("dst")).union(g.select("target", "source")))

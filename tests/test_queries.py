@@ -4,9 +4,11 @@ import importlib
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph import cli, pipeline
 from loomgraph.plans import queries
+from loomgraph.sources import tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -57,6 +59,13 @@ def test_library_and_command_line(spark, tmp_path, capsys):
     for command in (["build"], ["resolve"], ["review"], ["apply-merges"], ["narrate"], ["info"], ["search", "alice"], ["query", "Alice Smith", "--depth", "2"], ["topology"], ["export", "csv"], ["view", "--top", "3"], ["domains"]):
         assert cli.main([*command, *([] if command == ["domains"] else ["-o", out])], spark) == 0, command
     said = capsys.readouterr().out
+    path = f"{out}/relation_review.yaml"
+    pipeline.run_build(spark, out, review_threshold=1.0)
+    before = tables.reviews(spark, path)
+    assert before.count()
+    tables.save_yaml(before.withColumn("status", F.lit("REJECTED")), "relations", path)
+    pipeline.run_build(spark, out, review_threshold=1.0)  # keeps what was decided
+    assert {r.status for r in tables.reviews(spark, path).collect()} == {"REJECTED"}
     assert "person:alice_smith" in said and "Alice Smith" in open(f"{out}/narrative.md").read()
     assert cli.main(["query", "Nobody At All", "-o", out], spark) == 1
     assert cli.main(["build", "-o", str(tmp_path / "none")], spark) == 1
