@@ -7,6 +7,7 @@ import math
 import os
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .bpe import TOKENIZER, TOKENIZER_DIR
 
 LEAST_LENGTH = 16
+LEAST_GIVEN = 4
 CONTEXT = 48
 LEAST_SCORE = 0.5
 
@@ -28,13 +30,17 @@ FEATURES = [
     "quoted", "assigned", "in_path", "test_path", "secret_words", "other_words", "known_prefix", "placeholder", "repeats",
 ]
 
-_SECRET = re.compile(r"(?i)(secret|token|passw(or)?d|pwd|api[_-]?key|access[_-]?key|private|credential|auth|bearer)")
+_SECRET = re.compile(r"(?i)(secret|token|passw(or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private|credential|auth|bearer)")
 _OTHER = re.compile(r"(?i)(commit|sha-?\d*\b|md5|checksum|digest|uuid|guid|order|invoice|isbn|card|phone|serial|version|build|revision|etag|example|sample|hash of|license|integrity)")
 _PREFIX = re.compile(r"^(AKIA|ASIA|ghp_|gho_|github_pat_|xox[abprs]-|sk_live_|sk-|AIza|glpat-|eyJ)")
 _HOLD = re.compile(r"(?i)(x{4,}|0{6,}|1234567|abcdef0?123|your|example|changeme|dummy|placeholder|redacted)")
 _UUID = re.compile(r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
 _TEST = re.compile(r"(?i)(test|example|fixture|sample|mock|demo)")
 
+_GIVEN = re.compile(
+    rb"""(?i)(?:secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth[_-]?key)[a-z0-9_-]*["']?(?:[ \t]*(?::=|=>|=|:)[ \t]*|[ \t]+is[ \t]+)"""
+    rb"""(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'`,;]+))"""
+)
 _CHAR = np.zeros(256, bool)
 _CHAR[[ord(c) for c in string.ascii_letters + string.digits + "_+/-="]] = True
 _DIGIT = np.zeros(256, bool)
@@ -52,10 +58,22 @@ class Finding:
 
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Byte spans of runs of ASCII letters, digits and ``_+/-=`` of 16 bytes or more that hold a digit.
+    """Byte spans of what may be a secret, in order.
 
-    A ``=`` or ``-`` at either end, and a name with its ``=`` in front, are not part of the run.
+    These are the values given to a name like those of secrets, quoted or up to the next blank, of ``LEAST_GIVEN`` bytes or more and
+    of whatever characters; and anywhere else runs of ASCII letters, digits and ``_+/-=`` of ``LEAST_LENGTH`` bytes or more that hold a digit.
     """
+    given = [next(m.span(g) for g in (1, 2, 3) if m.group(g) is not None) for m in _GIVEN.finditer(text)]
+    given = [(a, b) for a, b in given if b - a >= LEAST_GIVEN]
+    runs = _runs(text)
+    if given and runs:
+        starts = [a for a, _ in given]
+        runs = [(a, b) for a, b in runs if (k := bisect_right(starts, a)) == 0 or given[k - 1][1] < b]
+    return sorted({*given, *runs})
+
+
+def _runs(text: bytes) -> list[tuple[int, int]]:
+    """A ``=`` or ``-`` at either end of a run, and a name with its ``=`` in front, are not part of it."""
     if len(text) < LEAST_LENGTH:
         return []
     buf = np.frombuffer(text, np.uint8)
@@ -138,29 +156,34 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> tuple[list[Finding], lis
     syllables = "the and tion er on in en re an ing st nd es at ou eau ment que der sch lich keit ung ción as os do ra".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
     prose = lambda k: " ".join(word() for _ in range(k))
+    mark = "!@#$%^&*.?"
+    short = lambda: r.choice([lambda: pick(alnum + mark, r.randint(8, 15)), lambda: word() + pick(string.digits, r.randint(1, 4)) + word() + pick(mark, r.randint(0, 2)), lambda: pick(string.ascii_letters, r.randint(9, 20)), lambda: word().capitalize() + pick(mark, 1) + pick(string.digits, 3)])()
     out, labels = [], []
     for i in range(n):
         real = i % 2
         before, after, path = prose(r.randint(0, 5)) + " ", " " + prose(r.randint(0, 5)), r.choice(["src%d" % r.randint(0, 30), "app/main.py", "conf/settings.yml", "docs/readme.md", "deploy.sh"])
         if real:
-            value = r.choice([lambda: pick(hexa, r.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + "234567", 12) + pick(string.digits, 4), lambda: pick(b64, 40), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(alnum, r.randint(18, 48)), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24)])()
-            if not any(c.isdigit() for c in value):
-                value = value[:-1] + "7"
+            value = r.choice([lambda: pick(hexa, r.choice([32, 40, 64])), lambda: "AKIA" + pick(string.ascii_uppercase + "234567", 12) + pick(string.digits, 4), lambda: pick(b64, 40), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(alnum, r.randint(18, 48)), lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24), short, short, short, lambda: "-".join(word() + word() for _ in range(4)), lambda: "-".join(word() for _ in range(r.randint(4, 6)))])()
             name = r.choice(["token", "secret", "api_key", "password", "access_key", "auth_token", "private_key", "credential", "API_KEY", "TOKEN", "client_secret"])
             quote = r.choice(['"', "'", "", '"'])
             before += name + r.choice([" = ", "=", ": ", " is ", " := "]) + quote
             after = quote + after
         else:
-            kind = r.randrange(10)
+            kind = r.randrange(14)
             value = [
                 lambda: pick(string.digits, 16), lambda: pick(hexa, r.choice([32, 40, 64])), lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), lambda: "/".join(word() for _ in range(4)) + "/v%d" % r.randint(1, 30),
                 lambda: "_".join(word() for _ in range(4)) + str(r.randint(0, 99)), lambda: "%d-%d-%d-%s-%s" % (r.randint(1, 9), r.randint(0, 99), r.randint(0, 99), word(), word()), lambda: r.choice(["your_token_here_", "xxxxxxxxxxxxxxxx", "EXAMPLE_KEY_0000", "changeme_"]) + str(r.randint(0, 999)),
                 lambda: "+" + pick(string.digits, 16), lambda: word() + word() + word() + word() + word() + str(r.randint(0, 9)), lambda: pick(string.digits, r.randint(16, 24)),
+                *[lambda: r.choice(["None", "null", "true", "false", "required", "optional", "string", "missing", "invalid", "expired", "basic", "bearer", "${%s}" % word().upper(), "<%s>" % word(), "*" * r.randint(4, 12), "os.environ[", "get_%s()" % word(), "self.%s" % word(), "{{ %s }}" % word(), word(), word() + word(), prose(r.randint(2, 6))])] * 4,
             ][kind]()
             if kind == 1:
                 before += r.choice(["commit ", "sha1: ", "md5sum ", "checksum ", "sha256:", "etag: ", "integrity sha512-", "revision "])
             elif kind == 2:
                 before += r.choice(["uuid ", "id: ", "guid=", "", "request "])
+            elif kind > 9:
+                quote = r.choice(['"', "'", "", ""])
+                before += r.choice(["password", "token", "secret", "api_key", "auth_token", "credential", "passwd"]) + r.choice([" = ", "=", ": ", " is ", " := "]) + quote
+                after = quote + after
             elif kind == 6:
                 before += r.choice(["token = ", "api_key: ", "password="])
                 path = r.choice([path, "tests/example.py", "docs/sample.md"])
@@ -247,7 +270,7 @@ def _scan(forest: Forest, vocabulary: str, least: float):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for s, e in candidates(data):
                     rows.append((row, s, e))
-                    found.append(Finding(data[s:e].decode("ascii"), data[max(0, s - 4 * CONTEXT) : s].decode("utf-8", "ignore"), data[e : e + 4 * CONTEXT].decode("utf-8", "ignore"), paths[row] or ""))
+                    found.append(Finding(data[s:e].decode("utf-8", "replace"), data[max(0, s - 4 * CONTEXT) : s].decode("utf-8", "ignore"), data[e : e + 4 * CONTEXT].decode("utf-8", "ignore"), paths[row] or ""))
             score = forest.score(np.array([describe(f, known) for f in found])) if found else np.zeros(0)
             out = [(ids[r], s, e - s, xxhash.xxh64(f.value).hexdigest(), float(p)) for (r, s, e), f, p in zip(rows, found, score.tolist()) if p >= least]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.float64()))], ["doc_id", "start_byte", "n_bytes", "fingerprint", "score"])
@@ -259,8 +282,10 @@ def secrets(docs: DataFrame, forest: Forest | None = None, least: float = LEAST_
     """(doc_id, start_byte, n_bytes, fingerprint, score) of every finding the forest gives ``least`` or more.
 
     Candidates are described by length, character classes and transitions, dictionary coverage, the path (column
-    ``source``, where there is one) and the words around them. The secret itself is not returned, only its hash.
+    ``source``, where there is one) and the words around them. ``candidates`` says what is looked at: values given to names of secrets, and
+    long runs with a digit; an unnamed password of under 16 bytes is not. The secret itself is not returned, only its hash.
     Null and empty texts have none. Repeated rows are scanned each; a null doc_id stays null; other columns are not read.
+    A long text is scanned whole; equal findings at two places are two rows; an empty table gives none.
     """
     vocabulary = vocabulary or os.path.join(TOKENIZER_DIR, TOKENIZER)
     forest = forest or train(vocabulary=vocabulary)

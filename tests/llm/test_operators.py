@@ -537,6 +537,47 @@ def test_secrets_on_held_out_findings():
     assert ((score >= 0.5) == (np.array(labels) == 1)).mean() >= 0.95
 
 
+@needs_tokenizer
+def test_secrets_equal_a_walk_of_every_candidate(spark):
+    import re
+
+    forest, known = secretscan.train(), secretscan.dictionary(TOKENIZER)
+
+    def walk(x):
+        total = 0.0
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if x[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        return total / len(forest.roots)
+
+    r = random.Random(41)
+    texts = []
+    for f, _ in zip(*secretscan.labelled_findings(300, seed=42)):
+        texts.append(f"{prose(r, 5)} {f.before}{f.value}{f.after} {prose(r, 5)}")
+    docs = [(i, t, "src") for i, t in enumerate(texts)]
+    want = set()
+    for d, t, path in docs:
+        data = t.encode()
+        for a, b in secretscan.candidates(data):
+            f = secretscan.Finding(data[a:b].decode(), data[max(0, a - 192) : a].decode("utf-8", "ignore"), data[b : b + 192].decode("utf-8", "ignore"), path)
+            if walk(secretscan.describe(f, known)) >= 0.5:
+                want.add((d, a, b - a))
+        for m in re.finditer(rb"[A-Za-z0-9_+/=-]{40,}", data):  # nothing long is left unseen
+            assert not re.search(rb"\d", m.group()) or any(a < m.end() and m.start() < b for a, b in secretscan.candidates(data))
+    got = {(x.doc_id, x.start_byte, x.n_bytes) for x in secretscan.secrets(spark.createDataFrame(docs, "doc_id long, text string, source string"), forest).collect()}
+    assert got == want and len(want) > 80
+
+
+@needs_tokenizer
+def test_short_passwords_and_harmless_values(spark):
+    found = ['password = "hunter2pw"', "db_passwd: p@ss!w0rdX9", 'export API_TOKEN="correct-horse-battery-staple-zq"', "passphrase is Kx!9vvQ2"]
+    clean = ["password = None", "the token is expired", 'secret: "required"', "password=${DB_PASSWORD}", "order 4012888888881881 was paid"]
+    rows = secretscan.secrets(spark.createDataFrame(list(enumerate(found + clean)), "doc_id long, text string")).collect()
+    ids = {r.doc_id for r in rows}
+    assert len(ids & set(range(len(found)))) >= 3 and not ids & set(range(len(found), len(found) + len(clean)))
+
+
 @needs_tokenizer
 def test_secrets_in_texts(spark):
     key = "ghp_a8Fk2Lq9Zx7Vb3Nm5Tr1Yw6Pd4Sg0HjKcUe2"
