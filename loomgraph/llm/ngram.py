@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +19,12 @@ from .shared import fresh_path, written
 from .textkit import U64, slices, text_column
 from .warc import _open
 
-ORDER = 5
+ORDER = 7
 #: Grams of all orders that one shard of the trie should hold; the number of shards follows the counts.
 SHARD_GRAMS = 500_000
 HELD_GRAMS = 4_000_000
+#: Bytes of shards that a scorer keeps where the file system can't map them.
+OPEN_BYTES = 256_000_000
 FLOOR = -30.0
 STEPS = 65_535
 MEMO_BITS = 20
@@ -172,7 +175,7 @@ class Trie:
     before (which makes one rising sequence), where each parent's range starts, and quantised scores."""
 
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
-        self.parts = parts
+        self.parts, self.held = parts, 0
         pick = lambda name: EliasFano(parts={k.split("/")[1]: v for k, v in parts.items() if k.startswith(name + "/")})
         self.value = {k: pick(f"value{k}") for k in range(2, ORDER + 1) if f"value{k}/bits" in parts}
         self.start = {k: pick(f"start{k}") for k in self.value}
@@ -258,7 +261,9 @@ def _map_file(uri: str) -> Trie:
     raw = np.memmap(place, np.uint8, "r") if isinstance(system, fs.LocalFileSystem) else np.frombuffer(system.open_input_file(place).read(), np.uint8)
     n = int(raw[:8].view(np.int64)[0])
     head = json.loads(bytes(raw[8 : 8 + n]))
-    return Trie({name: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for name, (kind, size, at) in head.items()})
+    trie = Trie({name: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for name, (kind, size, at) in head.items()})
+    trie.held = 0 if isinstance(raw, np.memmap) else len(raw)
+    return trie
 
 
 def _shard_of(head: np.ndarray, shards: int) -> np.ndarray:
@@ -291,10 +296,22 @@ def build_model(docs: DataFrame) -> list[str]:
 
 class Scorer:
     def __init__(self, paths: tuple[str, ...]) -> None:
-        self.tries = [_map_file(p) if p else None for p in paths]
+        self.paths = paths
+        self.open: OrderedDict[int, Trie] = OrderedDict()
         self.memo_key = np.full(1 << MEMO_BITS, 0xFFFFFFFFFFFFFFFF, U64)
         self.memo = np.zeros(1 << MEMO_BITS)
 
+    def trie(self, shard: int) -> Trie | None:
+        """A shard, opened where it is first asked for; of those that can't be mapped, ``OPEN_BYTES`` stay, the last used."""
+        if not self.paths[shard]:
+            return None
+        if shard not in self.open:
+            self.open[shard] = _map_file(self.paths[shard])
+        self.open.move_to_end(shard)
+        while len(self.open) > 1 and sum(t.held for t in self.open.values()) > OPEN_BYTES:
+            self.open.popitem(last=False)
+        return self.open[shard]
+
     def score_keys(self, key: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each gram given those before, from the longest gram that was seen."""
         out = np.zeros(len(key))
@@ -302,10 +319,10 @@ class Scorer:
         for k in range(ORDER, 0, -1):
             part = key[live] & U64((1 << 8 * k) - 1)
             head = (part >> U64(8 * (k - 2))) if k > 1 else np.zeros(len(part), U64)
-            shard = _shard_of(head, len(self.tries)) if k > 1 else np.zeros(len(part), np.int64)
+            shard = _shard_of(head, len(self.paths)) if k > 1 else np.zeros(len(part), np.int64)
             done = np.zeros(len(live), bool)
             for s in np.unique(shard):
-                trie = self.tries[s]
+                trie = self.trie(s)
                 at = np.flatnonzero(shard == s)
                 if trie is None:
                     continue
@@ -317,7 +334,7 @@ class Scorer:
                 if k > 1:
                     out[live[at[miss]]] += restored(trie.parts[f"logb{k - 1}"][before[miss]])
             live = live[~done]
-        nothing = next((t.parts["nothing"][0] for t in self.tries if t is not None), 0.0)
+        nothing = next((t.parts["nothing"][0] for t in map(self.trie, range(len(self.paths))) if t is not None), 0.0)
         out[live] += nothing + np.log(1 / 256)  # bytes never seen
         return out
 
@@ -358,7 +375,7 @@ def _score(paths: tuple[str, ...]):
 def lm_scores(docs: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_bytes, log_prob, perplexity) of every row of ``docs`` under a byte model of ``train_on``, by default ``docs``.
 
-    The model counts the grams of all its documents, so it grows with them. Scores are quantised to 16 bits (steps
+    The model counts the grams of ``ORDER`` bytes of all its documents, so its contexts reach back over a word, and it grows with them. Scores are quantised to 16 bits (steps
     of 0.0005). A null or empty text has 0 bytes, log_prob 0 and a null perplexity; repeated rows count and
     are scored each; a null doc_id stays null; other columns are not read; an empty table gives no rows.
     """
