@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import fresh_path, written
-from .textkit import U64, slices, text_column
+from .textkit import SLICE_UNITS, U64, slices, text_column
 from .warc import _open
 
 ORDER = 7
@@ -211,37 +211,58 @@ class Trie:
         return parts
 
     def descend(self, key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place at level k or -1, place of the first k - 1 bytes at their level or -1) of grams of k bytes."""
-        node = self.first[(key >> U64(8 * (k - 1))).astype(np.int64) & 255].astype(np.int64)
-        before = np.full(len(key), -1, np.int64)
+        """(place at level k or -1, place of the first k - 1 bytes at their level or -1) of grams of k bytes.
+
+        Grams go in order, so that each prefix they share is looked up once.
+        """
+        order = None
+        if len(key) > 1 and (key[1:] < key[:-1]).any():
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        head = key >> U64(8 * (k - 1))
+        group, node, before = np.arange(len(key)), self.first[head.astype(np.int64) & 255].astype(np.int64), np.full(len(key), -1, np.int64)
         for d in range(2, k + 1):
+            part = key >> U64(8 * (k - d))
+            new = np.concatenate(([True], part[1:] != part[:-1]))[: len(part)]
+            at = np.flatnonzero(new)
+            parent = node[group[at]]
+            group = np.cumsum(new) - 1
             if d == k:
-                before = node.copy()
-            if d not in self.value:
-                node = np.full(len(key), -1, np.int64)
-                continue
-            live = np.flatnonzero(node >= 0)
-            low, high = self.start[d].get(node[live]), self.start[d].get(node[live] + 1)
-            ef = self.value[d]
-            base = np.zeros(len(live), np.int64)
-            some = low > 0
-            base[some] = ef.get(low[some] - 1)
-            want = base + ((key[live] >> U64(8 * (k - d))).astype(np.int64) & 255) + 1
-            a, b = low.copy(), high.copy()
-            while True:  # the successor of ``want`` within the parent's range
-                open_ = np.flatnonzero(a < b)
-                if not len(open_):
-                    break
-                middle = (a[open_] + b[open_]) >> 1
-                less = ef.get(middle) < want[open_]
-                a[open_[less]] = middle[less] + 1
-                b[open_[~less]] = middle[~less]
-            found = a < high
-            found[found] = ef.get(a[found]) == want[found]
-            node = np.full(len(key), -1, np.int64)
-            node[live[found]] = a[found]
+                before = parent[group]
+            node = self._child(d, parent, (part[at] & U64(255)).astype(np.int64))
+        node = node[group]
+        if order is not None:
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            node, before = node[back], before[back]
         return node, before
 
+    def _child(self, d: int, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Place at level d of each parent's gram with one more byte, or -1: the successor within the parent's range."""
+        node = np.full(len(parent), -1, np.int64)
+        if d not in self.value:
+            return node
+        live = np.flatnonzero(parent >= 0)
+        low, high = self.start[d].get(parent[live]), self.start[d].get(parent[live] + 1)
+        ef = self.value[d]
+        base = np.zeros(len(live), np.int64)
+        some = low > 0
+        base[some] = ef.get(low[some] - 1)
+        want = base + symbol[live] + 1
+        a, b = low.copy(), high.copy()
+        while True:
+            open_ = np.flatnonzero(a < b)
+            if not len(open_):
+                break
+            middle = (a[open_] + b[open_]) >> 1
+            less = ef.get(middle) < want[open_]
+            a[open_[less]] = middle[less] + 1
+            b[open_[~less]] = middle[~less]
+        found = a < high
+        found[found] = ef.get(a[found]) == want[found]
+        node[live[found]] = a[found]
+        return node
+
 
 def _pack_file(parts: dict[str, np.ndarray]) -> bytes:
     head, blobs, at = {}, [], 0
@@ -364,7 +385,7 @@ def scorer(paths: tuple[str, ...]) -> Scorer:
 def _score(paths: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, texts in slices(text_column(b)):
+            for first, texts in slices(text_column(b), 2 * SLICE_UNITS):
                 size, logp = scorer(paths).score(texts)
                 per = np.exp(-logp / np.maximum(size, 1))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array(size), pa.array(logp), pa.array(np.where(size > 0, per, np.nan), from_pandas=True)], ["doc_id", "n_bytes", "log_prob", "perplexity"])
