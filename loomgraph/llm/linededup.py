@@ -26,6 +26,10 @@ HELD_PAIRS = 200_000
 SAMPLE, FREQUENT, MOST_FREQUENT = 16, 8, 200_000
 #: Lines under one key that one task compares; a key that holds more by the same sample is cut into such blocks, and each two blocks are a key of their own.
 BLOCK, MOST_HOT = 2_000, 100_000
+#: Earlier lines that a line is first paired with under a key; the rest follow where none of these is near. Lines looked at in one step.
+FEW, STEP = 8, 64
+#: A row's place: words of the line, place of the run in it, and a code of 16 bits that rises with the document. A count at its bound is not compared.
+WORDS_AT, RUN_AT, MOST_WORDS, CODES = 40, 16, (1 << 23) - 1, 4_096
 
 
 def _cuts(length: np.ndarray, segments: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ def _word_runs(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(line, key, words << 32 | place, sketch): the rarest word runs of each line, so many that two lines within the allowed word edits share one.
+    """(line, key, words and place, sketch): the rarest word runs of each line, so many that two lines within the allowed word edits share one.
 
     A word edit changes RUN runs of either line at most. Of the first ``RUN * edits + 1`` in one order of all runs
     (with all that equal the last), both lines thus hold the first run that the edits leave alone (prefix filter),
@@ -112,7 +116,7 @@ def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: t
     rank = rank[np.maximum.accumulate(np.where(new, every, 0))]  # equal runs go together
     first = rank <= RUN * edits[line]
     line = line[first]
-    return line, mix(run[first]).view(np.int64), n[line] << 32 | place[first], sketch[line]
+    return line, mix(run[first]).view(np.int64), np.minimum(n[line], MOST_WORDS) << WORDS_AT | np.minimum(place[first], MOST_WORDS) << RUN_AT, sketch[line]
 
 
 def frequent_runs(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -204,31 +208,40 @@ def _spread(key: np.ndarray, rows: list[np.ndarray], hot: tuple[np.ndarray, np.n
     return np.where(cut, moved, key[i]), [r[i] for r in rows]
 
 
-def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | None = None, hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64),) * 2):
-    """(key, h, place, sketch) of each line that the task has not met yet; the lowest bit of a key tells the line's own segments, the next is for ``_spread``.
+def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | None = None, hot: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64),) * 2, bounds: np.ndarray = np.zeros(0, np.int64)):
+    """(key, h, place, sketch) of each line that the task has not met yet, or not in so early a document by ``bounds``; the lowest bit of a key tells the line's own segments, the next is for ``_spread``.
 
     Lines under ``least`` bytes have no segments. With ``frequent``, keys of word runs come too, all of them own and
-    with their place and sketch; those of segments are 0.
+    with their place and sketch; those of segments are 0, but for the document's code.
     """
 
     def emit(where, p, start, size, h, state) -> pa.RecordBatch:
-        h, at = np.unique(h, return_index=True)
-        seen = state.get("seen", np.zeros(0, np.int64))
-        new = ~np.isin(h, seen, assume_unique=True)
-        h, at = h[new], at[new]
-        state["seen"] = np.concatenate((seen, h))
+        code = np.searchsorted(bounds, where[0], side="right")
+        order = np.argsort(code, kind="stable")
+        h, at = np.unique(h[order], return_index=True)
+        at = order[at]
+        code = code[at]
+        seen, least_code = state.get("seen", (np.zeros(0, np.int64),) * 2)
+        to = np.searchsorted(seen, h)
+        known = seen[np.minimum(to, len(seen) - 1)] == h if len(seen) else np.zeros(len(h), bool)
+        new = ~known
+        known[known] = code[known] < least_code[to[known]]
+        least_code[to[known]] = code[known]
+        state["seen"] = np.insert(seen, to[new], h[new]), np.insert(least_code, to[new], code[new])
+        new |= known
+        h, at, code = h[new], at[new], code[new]
         long = size[at] >= least
         own, probe = _keys(p, start[at[long]], size[at[long]], tau)
         fits = probe != 0
         key = [(own & ~3 | 1).ravel(), (probe & ~3)[fits]]
         line = [np.repeat(h[long], own.shape[1]), np.repeat(h[long], probe.shape[1]).reshape(probe.shape)[fits]]
-        place = [np.zeros(len(key[0]) + len(key[1]), np.int64)]
-        sketch = place[:]
+        place = [np.repeat(code[long], own.shape[1]), np.repeat(code[long], probe.shape[1]).reshape(probe.shape)[fits]]
+        sketch = [np.zeros(len(key[0]) + len(key[1]), np.int64)]
         if frequent is not None:
             whose, word_key, word_place, word_sketch = _word_keys(p.units, start[at], size[at], frequent)
             key.append(word_key & ~3 | 1)
             line.append(h[whose])
-            place.append(word_place)
+            place.append(word_place | code[whose])
             sketch.append(word_sketch)
         key, (line, place, sketch) = _spread(np.concatenate(key), [np.concatenate(x) for x in (line, place, sketch)], hot)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), pa.array(place), pa.array(sketch)], ["key", "h", "place", "sketch"])
@@ -236,79 +249,121 @@ def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | No
     return emit
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(few: int | None = None, only: bool = False):
     """Pairs of different lines under one key, one of which has it as its own; rows come in order of key.
 
     Where a key is a word run, the words before it and those after it may differ by the allowed edits in all,
-    and the sketches by twice as many bits.
+    and the sketches by twice as many bits. With ``few``, a line is paired with so many lines under a key at most, the earliest
+    by code; where there may be more, a row (line, key >> 2, true) tells so. With ``only``, lines of code 1 alone are paired with all others.
     """
 
     def pairs(key: np.ndarray, h: np.ndarray, place: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate(([True], key[1:] >> 2 != key[:-1] >> 2)))
-        n = np.diff(np.concatenate((start, [len(key)])))
-        a, b, held = [], [], 0
-
-        def meet(x: int, other: np.ndarray) -> None:
+        n = _sizes(key >> 2)
+        size = np.repeat(n, n)
+        key, h, place, sketch, own = (x[size > 1] for x in (key, h, place, sketch, key & 1))
+        many = size[size > 1] > 2
+        if many.any():  # a line comes from each task that met it
+            k, x, p, b, o = (v[many] for v in (key >> 1, h, place, sketch, own))
+            order = np.lexsort((p, x, k))
+            k, x, p, b, o = (v[order] for v in (k, x, p, b, o))
+            new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (p[1:] >> RUN_AT != p[:-1] >> RUN_AT))))
+            o = np.maximum.reduceat(o, new)
+            whole = (k[new] << 1, x[new], p[new], b[new], o)  # the lowest code of equals
+            key, h, place, sketch, own = (np.concatenate((v[~many], w)) for v, w in zip((key, h, place, sketch, own), whole))
+        side, code, words, before = key & 2, place & 0xFFFF, place >> WORDS_AT, place >> RUN_AT & 0xFFFFFF
+        key = key >> 2
+        n = _sizes(key)
+        start = np.cumsum(n) - n
+        a, b, more, held = [], [], [], 0
+
+        def meet(x: np.ndarray, other: np.ndarray) -> bool:
             nonlocal held
             a.append(np.minimum(x, other))
             b.append(np.maximum(x, other))
             held += len(other)
+            return held > HELD_PAIRS
 
-        for s, k in zip(start[n > 1].tolist(), n[n > 1].tolist()):
-            here, at, bits, side, own = h[s : s + k], place[s : s + k], sketch[s : s + k], key[s : s + k] & 2, key[s : s + k] & 1
-            if k > 2:  # a line comes from each task that met it
-                order = np.lexsort((own, side, at, here))
-                same = (here[order][1:] == here[order][:-1]) & (at[order][1:] == at[order][:-1]) & (side[order][1:] == side[order][:-1])
-                order = order[np.concatenate((~same, [True]))]  # the last of equals: own, where any is
-                here, at, bits, side, own = (v[order] for v in (here, at, bits, side, own))
-            if len(here) < 2 or here[0] == here[-1] and (here == here[0]).all():
+        def out() -> pa.RecordBatch:
+            nonlocal held
+            found = _distinct(a, b, more if few else None)
+            a.clear(), b.clear(), more.clear()
+            held = 0
+            return found
+
+        def near(i, j) -> np.ndarray:
+            widest = np.maximum(words[i], words[j])
+            most = widest // WORDS_AN_EDIT
+            ahead = before[i] - before[j]
+            apart = np.abs(ahead) + np.abs(words[i] - words[j] - ahead)
+            alike = ((apart <= most) | (widest == MOST_WORDS)) & (np.bitwise_count((sketch[i] ^ sketch[j]).view(U64)) <= 2 * most)
+            return (h[i] != h[j]) & np.where(widest > 0, alike, (own[i] | own[j]) > 0)
+
+        two = start[n == 2]
+        two = two[near(two, two + 1) & ((side[two] != side[two + 1]) | (side[two] == 0))]
+        if len(two) and meet(h[two], h[two + 1]):
+            yield out()
+        for s, k in zip(start[n > 2].tolist(), n[n > 2].tolist()):
+            if h[s] == h[s + k - 1] and (h[s : s + k] == h[s]).all():
                 continue
-            cross = side.any()  # two blocks of a hot key, each compared with itself elsewhere
-            if at[0]:
-                words, before = at >> 32, at & 0xFFFFFFFF
-                after = words - before
-                for i in range(1, len(here)):
-                    apart = np.abs(before[:i] - before[i]) + np.abs(after[:i] - after[i])
-                    most = np.maximum(words[:i], words[i]) // WORDS_AN_EDIT
-                    near = (apart <= most) & (np.bitwise_count((bits[:i] ^ bits[i]).view(U64)) <= 2 * most) & (here[:i] != here[i])
-                    other = here[:i][near & (side[:i] != side[i])] if cross else here[:i][near]
-                    if len(other):
-                        meet(here[i], other)
-                    if held > HELD_PAIRS:
-                        yield _distinct(a, b)
-                        a.clear(), b.clear()
-                        held = 0
+            every = s + np.argsort(code[s : s + k], kind="stable") if few else np.arange(s, s + k)
+            cross = side[s : s + k].any()  # two blocks of a hot key, each compared with itself elsewhere
+            ends = np.searchsorted(code[every], code[every], side="right").tolist() if few else [k] * k if only else range(k)
+            for i, end in zip(every.tolist(), ends):
+                if only and code[i] != 1:
+                    continue
+                left = few
+                for first in range(0, end, STEP if few else k):
+                    j = every[first : min(end, first + STEP) if few else end]
+                    fits = near(np.full(len(j), i), j)
+                    if cross:
+                        fits &= side[j] != side[i]
+                    other = h[j[fits]]
+                    full = few and (len(other) > left or len(other) == left and first + STEP < end)
+                    if full:
+                        other = other[:left]
+                        more.append((h[i], key[i]))
+                        held += 1
+                    if len(other) and meet(np.full(len(other), h[i]), other):
+                        yield out()
+                    if full:
+                        break
+                    if few:
+                        left -= len(other)
+        if a or more:
+            yield out()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            for i in np.flatnonzero(own):
-                other = here[(here != here[i]) & (side != side[i])] if cross else here[here != here[i]]
-                if len(other):
-                    meet(here[i], other)
-                if held > HELD_PAIRS:
-                    yield _distinct(a, b)
-                    a.clear(), b.clear()
-                    held = 0
-        if a:
-            yield _distinct(a, b)
-
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(i).to_numpy() for i in range(4)]
+            now = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            cut = np.searchsorted(now[0], now[0][-1] & ~3)  # the last key may go on in the next batch
+            held = [x[cut:].copy() for x in now]
+            if cut:
+                yield from pairs(*(x[:cut] for x in now))
         if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        cut = np.searchsorted(now[0], now[0][-1] & ~3)  # the last key may go on in the next batch
-        held = [x[cut:].copy() for x in now]
-        if cut:
-            yield from pairs(*(x[:cut] for x in now))
-    if held is not None:
-        yield from pairs(*held)
-    give_back()
+            yield from pairs(*held)
+        give_back()
+
+    return run
 
 
-def _distinct(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "other"])
+def _sizes(key: np.ndarray) -> np.ndarray:
+    """Rows of each run of equal keys."""
+    return np.diff(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))) if len(key) else np.zeros(0, np.int64)
+
+
+def _distinct(a: list[np.ndarray], b: list[np.ndarray], more: list[tuple[int, int]] | None = None) -> pa.RecordBatch:
+    both = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0) if a else np.zeros((0, 2), np.int64)
+    if more is None:
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["h", "other"])
+    marks = np.unique(np.array(more, np.int64).reshape(-1, 2), axis=0)
+    kind = np.repeat([False, True], [len(both), len(marks)])
+    both = np.concatenate((both, marks))
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(kind)], ["h", "other", "more"])
 
 
 def within(a: bytes, b: bytes, most: int) -> int:
@@ -426,6 +481,77 @@ def _trimmed(line: str) -> F.Column:
     return F.expr(rf"regexp_replace({line}, '^[ \\t\\x0b\\f\\r]+|[ \\t\\x0b\\f\\r]+$', '')")
 
 
+def _read(docs: DataFrame, threshold: int, min_bytes: int, whole: bool, bounds: np.ndarray = np.zeros(0, np.int64)) -> tuple[DataFrame, ...]:
+    """(documents, places of all lines, distinct lines with the first place of each, rows of keys)."""
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("of")).where("doc_id is not null")
+    least = 1 if whole else min_bytes
+    frequent = frequent_runs(source) if whole else None
+    raw = written(source.mapInArrow(_lines(least, _places), "h long, doc_id long, line_no int, of long"), "lines")
+    lines = raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "of")).alias("first"), F.count("*").alias("n"))
+    lines = written(lines.select("h", F.struct("first.doc_id", "first.line_no").alias("first"), "first.of", "n"), "distinct-lines")
+    hot = hot_keys(source, least, threshold, min_bytes, frequent)
+    keys = source.mapInArrow(_lines(least, _segments(threshold, min_bytes, frequent, hot, bounds)), "key long, h long, place long, sketch long")
+    return source, raw, lines, keys
+
+
+def _together(keys: DataFrame) -> DataFrame:
+    return keys.repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
+
+
+def _texts(source: DataFrame, lines: DataFrame, met: DataFrame) -> DataFrame:
+    """(h, line) of the lines in the pairs ``met``."""
+    needed = met.select("h").union(met.select("other")).distinct().join(lines.select("h", "first", "of"), "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "of")
+    wanted = needed.groupBy("doc_id", "of").agg(F.collect_list(F.struct("line_no", "h")).alias("w"))
+    texts = (
+        source.join(wanted, ["doc_id", "of"]).select(F.split("text", "\n").alias("l"), F.explode("w").alias("w")).where("w.line_no < size(l)")
+        .select("w.h", _trimmed("element_at(l, w.line_no + 1)").alias("line")).groupBy("h").agg(F.max("line").alias("line"))
+    )
+    return written(texts, "line-texts")
+
+
+def _near(met: DataFrame, texts: DataFrame, threshold: int, min_bytes: int, whole: bool) -> DataFrame:
+    pairs = met.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other").select("h", "line", "other", "other_line")
+    return pairs.mapInArrow(_verify(threshold, min_bytes, whole), "h long, to long, distance int")
+
+
+def gone_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, whole: bool = True) -> DataFrame:
+    """(doc_id, line_no) of the lines that ``repeated_lines`` names, without their keepers.
+
+    One near earlier line is enough for that, so a line is compared with the earliest of its candidates, then with the others, then
+    with those beyond ``FEW`` under a key, and only while none is near: in a class of k near lines about k pairs are compared, not k * k / 2.
+    """
+    cuts = docs.select(F.col("doc_id").cast("long").cast("double").alias("doc_id")).where("doc_id is not null").approxQuantile("doc_id", [i / CODES for i in range(1, CODES)], 0.5 / CODES)
+    bounds = np.unique(np.clip(np.array(cuts, float), -(2.0**62), 2.0**62).astype(np.int64))
+    source, raw, lines, keys = _read(docs, threshold, min_bytes, whole, bounds)
+    firsts = lines.select("h", "first")
+
+    def later(met: DataFrame) -> DataFrame:
+        """Each pair of lines as (h, other, keeper), h being the later one."""
+        both = met.join(firsts, "h").join(firsts.select(F.col("h").alias("other"), F.col("first").alias("keeper")), "other").where("first <> keeper")
+        turn = F.col("keeper") < F.col("first")
+        return both.select(F.when(turn, F.col("h")).otherwise(F.col("other")).alias("h"), F.when(turn, F.col("other")).otherwise(F.col("h")).alias("other"), F.least("first", "keeper").alias("keeper"))
+
+    def found(met: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        return written(_near(met.select("h", "other"), texts, threshold, min_bytes, whole).select("h").distinct(), name)
+
+    met = written(_together(keys).mapInArrow(_meet(FEW), "h long, other long, more boolean").distinct(), "line-pairs")
+    pairs = written(later(met.where("not more").select("h", "other")), "later-lines")
+    texts = _texts(source, lines, pairs)
+    best = pairs.groupBy("h").agg(F.min(F.struct("keeper", "other")).alias("best")).select("h", "best.other")
+    near = found(best, texts, "near-earliest")
+    near = near.union(found(pairs.join(near, "h", "left_anti").join(best, ["h", "other"], "left_anti"), texts, "near-others"))
+    open_ = written(met.where("more").select("h", F.col("other").alias("at")).join(near, "h", "left_anti"), "open-lines")
+    if not open_.isEmpty():
+        keyed = keys.withColumn("at", F.shiftright("key", 2)).join(open_.select("at").distinct(), "at", "left_semi").join(open_.withColumn("open", F.lit(1)), ["at", "h"], "left")
+        under = keyed.select("key", "h", F.expr(f"place & ~{(1 << RUN_AT) - 1}L | coalesce(open, 0)").alias("place"), "sketch")
+        rest = _together(under).mapInArrow(_meet(only=True), "h long, other long").distinct()
+        rest = later(rest).join(open_.select("h").distinct(), "h", "left_semi").join(pairs, ["h", "other"], "left_anti")
+        rest = written(rest, "further-pairs")
+        near = near.union(found(rest, _texts(source, lines, rest), "near-further"))
+    some = lines.select("h", "first", "n").join(near.distinct().withColumn("near", F.lit(True)), "h", "left").where("n > 1 or near")
+    return raw.select("h", "doc_id", "line_no").join(some, "h").where((F.struct("doc_id", "line_no") > F.col("first")) | F.col("near").isNotNull()).select("doc_id", "line_no").distinct()
+
+
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, whole: bool = False) -> DataFrame:
     """(doc_id, line_no, keeper_doc_id, keeper_line_no, distance) of every line that repeats an earlier one.
 
@@ -443,25 +569,10 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_bytes: int =
     doc_id with equal lines are one document, those with other lines count beside each other; an empty table gives no rows.
     Keys of very many lines are compared in blocks by several tasks; a long text is split like any.
     """
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text"), F.xxhash64("text").alias("of")).where("doc_id is not null")
-    least = 1 if whole else min_bytes
-    frequent = frequent_runs(source) if whole else None
-    raw = written(source.mapInArrow(_lines(least, _places), "h long, doc_id long, line_no int, of long"), "lines")
-    lines = raw.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "of")).alias("first"), F.count("*").alias("n"))
-    lines = written(lines.select("h", F.struct("first.doc_id", "first.line_no").alias("first"), "first.of", "n"), "distinct-lines")
-    hot = hot_keys(source, least, threshold, min_bytes, frequent)
-    keys = source.mapInArrow(_lines(least, _segments(threshold, min_bytes, frequent, hot)), "key long, h long, place long, sketch long")
-    met = keys.repartition(F.shiftright("key", 2)).sortWithinPartitions("key").mapInArrow(_meet, "h long, other long").distinct()
+    source, raw, lines, keys = _read(docs, threshold, min_bytes, whole)
+    met = _together(keys).mapInArrow(_meet(), "h long, other long").distinct()
     met = written(met, "line-pairs")
-    needed = met.select("h").union(met.select("other")).distinct().join(lines.select("h", "first", "of"), "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.line_no").alias("line_no"), "of")
-    wanted = needed.groupBy("doc_id", "of").agg(F.collect_list(F.struct("line_no", "h")).alias("w"))
-    texts = (
-        source.join(wanted, ["doc_id", "of"]).select(F.split("text", "\n").alias("l"), F.explode("w").alias("w")).where("w.line_no < size(l)")
-        .select("w.h", _trimmed("element_at(l, w.line_no + 1)").alias("line")).groupBy("h").agg(F.max("line").alias("line"))
-    )
-    texts = written(texts, "line-texts")
-    pairs = met.join(texts, "h").join(texts.select(F.col("h").alias("other"), F.col("line").alias("other_line")), "other").select("h", "line", "other", "other_line")
-    near = pairs.mapInArrow(_verify(threshold, min_bytes, whole), "h long, to long, distance int")
+    near = written(_near(met, _texts(source, lines, met), threshold, min_bytes, whole), "near-lines")
     both = near.union(near.select("to", "h", "distance"))
     firsts = lines.select("h", "first")
     ranked = both.join(firsts, "h").join(firsts.select(F.col("h").alias("to"), F.col("first").alias("keeper")), "to").where("keeper < first")
@@ -483,7 +594,7 @@ def without_repeats(docs: DataFrame, **kw) -> DataFrame:
     texts that lose nothing stay as they are, empty ones too.
     """
     doc, lines, rest = (f"_{uuid.uuid4().hex}" for _ in range(3))
-    gone = repeated_lines(docs, **{"whole": True} | kw).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lines))
+    gone = gone_lines(docs, **kw).groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("line_no").alias(lines))
     joined = docs.join(gone, docs["doc_id"].cast("long") == F.col(doc), "left")
     left = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains(F.col(lines), i)), "\n")
     untouched = F.col(lines).isNull()

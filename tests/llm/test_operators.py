@@ -506,6 +506,42 @@ def test_short_lines_repeat_exactly(spark):
     assert sorted(map(tuple, linededup.without_repeats(docs).collect())) == [(1, text), (2, "All rights preserved.\n")]
 
 
+@pytest.mark.parametrize("few", [1, 8])
+def test_lines_gone_are_those_that_repeat(spark, monkeypatch, few):
+    r = random.Random(23)
+    words = prose(r, 40).split()
+    docs = []
+    for d in range(220):
+        w = words[:]
+        for _ in range(r.randint(0, 9)):
+            w[r.randrange(len(w))] = r.choice(["red", "green", "blue"])
+        docs.append((d * 7 % 220 if d < 200 else -d, " ".join(w) + "\n" + prose(r, 3) + ("\nAll rights reserved." if d % 9 == 0 else "")))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    want = sorted((x.doc_id, x.line_no) for x in linededup.repeated_lines(df, whole=True).collect())
+    monkeypatch.setattr(linededup, "FEW", few)
+    monkeypatch.setattr(linededup, "STEP", 4)
+    monkeypatch.setattr(linededup, "CODES", 32)
+    assert sorted(map(tuple, linededup.gone_lines(df).collect())) == want and 100 < len(want) < 245
+    monkeypatch.setattr(linededup, "SAMPLE", 1)
+    monkeypatch.setattr(linededup, "BLOCK", 25)
+    assert sorted(map(tuple, linededup.gone_lines(df).collect())) == want
+
+
+def test_a_class_of_near_lines_is_not_compared_pair_by_pair(spark, monkeypatch):
+    r = random.Random(24)
+    words = prose(r, 60).split()
+    docs = [(d, " ".join([*words[: d % 50], f"other{d}", *words[d % 50 + 1 :]])) for d in range(300)]
+    tables = {}
+
+    def kept(df, name, write=linededup.written):
+        tables[name] = write(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(linededup, "written", kept)
+    assert linededup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).count() == 1
+    assert tables["line-pairs"].count() < 300 * 100 < 300 * 299 // 2
+
+
 # -- 9
 
 
