@@ -27,7 +27,9 @@ HELD_GRAMS = 4_000_000
 OPEN_BYTES = 256_000_000
 FLOOR = -30.0
 STEPS = 65_535
-MEMO_BITS = 20
+#: A scorer keeps the scores of so many grams, one in each place: the rest of the spread key, the steps, and whether the byte was never seen.
+MEMO_BITS, STEP_BITS = 22, 20
+ODD, BLOCK = 0x9E3779B97F4A7C15, 1 << 16
 
 
 def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,10 +48,9 @@ def padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def grams(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The ORDER bytes that end at each place, the earliest as the highest byte of a key."""
-    key = np.zeros(len(at), U64)
-    for j in range(ORDER - 1, -1, -1):
-        key = (key << U64(8)) | buf[at - j]
-    return key
+    wide = np.concatenate((np.zeros(8 - 1, np.uint8), buf))
+    every = np.ndarray(len(buf), ">u8", wide, 0, (1,)).astype(U64)
+    return every[at] & U64((1 << 8 * ORDER) - 1)
 
 
 def _runs(key: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +92,8 @@ def smoothed(counts: DataFrame) -> DataFrame:
     """
     by = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        by[k] = by[k + 1].groupBy(F.expr(f"key & {(1 << 8 * k) - 1}L").alias("key")).agg(F.sum("n").alias("n"))
-    contexts = {k: by[k].groupBy(F.expr("shiftright(key, 8)").alias("h")).agg(F.sum("n").alias("c"), F.count("*").alias("t")) for k in by}
+        by[k] = written(by[k + 1].groupBy(F.expr(f"key & {(1 << 8 * k) - 1}L").alias("key")).agg(F.sum("n").alias("n")), f"ngram-counts-{k}")
+    contexts = {k: written(by[k].groupBy(F.expr("shiftright(key, 8)").alias("h")).agg(F.sum("n").alias("c"), F.count("*").alias("t")), f"ngram-contexts-{k}") for k in by}
     shorter, rows = None, None
     for k in range(1, ORDER + 1):
         joined = by[k].withColumn("h", F.expr("shiftright(key, 8)")).join(contexts[k], "h")
@@ -114,6 +115,22 @@ def smoothed(counts: DataFrame) -> DataFrame:
     return rows.union(nothing)
 
 
+_PAIRS, _FOURS, _EIGHTS, _EACH, _TOPS = (U64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
+#: Place of one number r (of 8) of a byte b, at 256 * r + b.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for r in range(8) for b in range(256)], np.int64)
+
+
+def _nth_one(word: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Place of one number ``nth``, from 0, of each 64-bit word: the byte by ones up to each byte, then a table."""
+    nth = nth.astype(U64)
+    ones = word - (word >> U64(1) & _PAIRS)
+    ones = (ones & _FOURS) + (ones >> U64(2) & _FOURS)
+    ones = (ones + (ones >> U64(4)) & _EIGHTS) * _EACH
+    shift = np.bitwise_count((nth * _EACH | _TOPS) - ones & _TOPS).astype(U64) << U64(3)
+    nth -= ones << U64(8) >> shift & U64(255)
+    return shift.view(np.int64) + _IN_BYTE.take((nth << U64(8) | word >> shift & U64(255)).view(np.int64))
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits side by side, high bits in unary, places of ones by counts per word."""
 
@@ -141,16 +158,8 @@ class EliasFano:
         self.low, self.high, self.rank = self.parts["low"], self.parts["high"], self.parts["rank"]
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.rank, i, side="right") - 1
-        left = (i - self.rank[word]).astype(np.int64)
-        w = np.asarray(self.high[word])
-        place = np.zeros(len(i), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            below = np.bitwise_count(w & U64((1 << step) - 1)).astype(np.int64)
-            go = left >= below
-            left = np.where(go, left - below, left)
-            place += np.where(go, step, 0)
-            w = np.where(go, w >> U64(step), w)
+        word = np.searchsorted(self.rank, i.astype(np.uint32), side="right") - 1
+        place = _nth_one(self.high[word], i - self.rank[word])
         out = ((word << 6) + place - i).astype(np.int64)
         if self.bits:
             at = i * self.bits
@@ -249,18 +258,17 @@ class Trie:
         some = low > 0
         base[some] = ef.get(low[some] - 1)
         want = base + symbol[live] + 1
-        a, b = low.copy(), high.copy()
-        while True:
-            open_ = np.flatnonzero(a < b)
-            if not len(open_):
-                break
-            middle = (a[open_] + b[open_]) >> 1
-            less = ef.get(middle) < want[open_]
-            a[open_[less]] = middle[less] + 1
-            b[open_[~less]] = middle[~less]
-        found = a < high
-        found[found] = ef.get(a[found]) == want[found]
-        node[live[found]] = a[found]
+        left = np.flatnonzero(low < high)
+        a, b, want, live = low[left], high[left], want[left], live[left]
+        while len(live):
+            middle = (a + b) >> 1
+            value = ef.get(middle)
+            equal = value == want
+            node[live[equal]] = middle[equal]
+            less = value < want
+            a, b = np.where(less, middle + 1, a), np.where(less, b, middle)
+            left = np.flatnonzero(~equal & (a < b))
+            a, b, want, live = a[left], b[left], want[left], live[left]
         return node
 
 
@@ -319,8 +327,7 @@ class Scorer:
     def __init__(self, paths: tuple[str, ...]) -> None:
         self.paths = paths
         self.open: OrderedDict[int, Trie] = OrderedDict()
-        self.memo_key = np.full(1 << MEMO_BITS, 0xFFFFFFFFFFFFFFFF, U64)
-        self.memo = np.zeros(1 << MEMO_BITS)
+        self.memo = np.full(1 << MEMO_BITS, 0xFFFFFFFFFFFFFFFF, U64)
 
     def trie(self, shard: int) -> Trie | None:
         """A shard, opened where it is first asked for; of those that can't be mapped, ``OPEN_BYTES`` stay, the last used."""
@@ -333,9 +340,9 @@ class Scorer:
             self.open.popitem(last=False)
         return self.open[shard]
 
-    def score_keys(self, key: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each gram given those before, from the longest gram that was seen."""
-        out = np.zeros(len(key))
+    def steps(self, key: np.ndarray) -> np.ndarray:
+        """Log probability of the last byte of each gram given those before, from the longest gram that was seen: twice its steps, and 1 more where the byte was never seen."""
+        out = np.zeros(len(key), np.int64)
         live = np.arange(len(key))
         for k in range(ORDER, 0, -1):
             part = key[live] & U64((1 << 8 * k) - 1)
@@ -349,32 +356,56 @@ class Scorer:
                     continue
                 node, before = trie.descend(part[at], k)
                 hit = node >= 0
-                out[live[at[hit]]] += restored(trie.parts[f"logp{k}"][node[hit]])
+                out[live[at[hit]]] += trie.parts[f"logp{k}"][node[hit]]
                 done[at[hit]] = True
                 miss = ~hit & (before >= 0)
                 if k > 1:
-                    out[live[at[miss]]] += restored(trie.parts[f"logb{k - 1}"][before[miss]])
+                    out[live[at[miss]]] += trie.parts[f"logb{k - 1}"][before[miss]]
             live = live[~done]
+        out <<= 1
+        out[live] |= 1
+        return out
+
+    def unseen(self) -> float:
+        """Log probability of a byte that was never seen, but for the steps."""
         nothing = next((t.parts["nothing"][0] for t in map(self.trie, range(len(self.paths))) if t is not None), 0.0)
-        out[live] += nothing + np.log(1 / 256)  # bytes never seen
+        return nothing + np.log(1 / 256)
+
+    def score_keys(self, key: np.ndarray) -> np.ndarray:
+        steps = self.steps(key)
+        out = restored(steps >> 1)
+        if (steps & 1).any():
+            out += (steps & 1) * self.unseen()
         return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(bytes, log probability) of each text."""
         buf, at, size = padded(texts)
         key = grams(buf, at)
-        slot = ((key * U64(0x9E3779B97F4A7C15)) >> U64(64 - MEMO_BITS)).astype(np.int64)
-        miss = np.flatnonzero(self.memo_key[slot] != key)
+        rest, low = U64(8 * ORDER - MEMO_BITS), U64((1 << 8 * ORDER - MEMO_BITS) - 1)
+        key *= U64(ODD)
+        key &= U64((1 << 8 * ORDER) - 1)
+        value = np.empty(len(key), np.int64)
+        missed = []
+        for a in range(0, len(key), BLOCK):
+            k = key[a : a + BLOCK]
+            word = self.memo[k >> rest]
+            value[a : a + BLOCK] = word & U64((1 << STEP_BITS) - 1)
+            missed.append(np.flatnonzero(word >> U64(STEP_BITS) != k & low) + a)
+        miss = np.concatenate(missed) if missed else np.zeros(0, np.int64)
         if len(miss):
-            new = np.unique(key[miss])
-            p = self.score_keys(new)
-            to = ((new * U64(0x9E3779B97F4A7C15)) >> U64(64 - MEMO_BITS)).astype(np.int64)
-            value = self.memo[slot]
-            value[miss] = p[np.searchsorted(new, key[miss])]
-            self.memo_key[to], self.memo[to] = new, p
-        else:
-            value = self.memo[slot]
-        return size, np.bincount(np.repeat(np.arange(len(texts)), size), weights=value, minlength=len(texts)).astype(float)
+            new, of = np.unique(key[miss] * U64(pow(ODD, -1, 1 << 64)) & U64((1 << 8 * ORDER) - 1), return_inverse=True)
+            found = self.steps(new)
+            value[miss] = found[of]
+            new = new * U64(ODD) & U64((1 << 8 * ORDER) - 1)
+            self.memo[new >> rest] = (new & low) << U64(STEP_BITS) | found.astype(U64)
+        ends = np.cumsum(size)
+        total = np.concatenate(([0], np.cumsum(value >> 1)))
+        logp = restored(total[ends] - total[ends - size])
+        odd = np.flatnonzero(value & 1)
+        if len(odd):
+            logp += np.bincount(np.searchsorted(ends, odd, side="right"), minlength=len(texts)) * self.unseen()
+        return size, logp
 
 
 @lru_cache(maxsize=1)

@@ -373,6 +373,38 @@ def test_ngram_odd_rows(spark):
     assert ngram.lm_scores(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [3, 22])
+def test_scores_by_memo_are_those_of_the_keys(spark, monkeypatch, bits):
+    r = random.Random(25)
+    texts = [prose(r, 60) for _ in range(30)] + ["", "\0\0 zero", "é"]
+    paths = tuple(ngram.build_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    monkeypatch.setattr(ngram, "MEMO_BITS", bits)
+    looked_up = []
+
+    class Counting(ngram.Scorer):
+        def steps(self, key):
+            looked_up.append(len(key))
+            return super().steps(key)
+
+    s = Counting(paths)
+    more = texts + ["~ bytes ~ that were ~ never seen \x7f"]
+    for _ in range(3):
+        size, logp = s.score(more)
+        for text, n, p in zip(more, size, logp):
+            buf, at, _ = ngram.padded([text])
+            assert n == len(text.encode()) and p == pytest.approx(ngram.Scorer(paths).score_keys(ngram.grams(buf, at)).sum() if n else 0.0, abs=1e-6)
+    if bits == 22:  # what is kept isn't looked up again
+        assert len(looked_up) == 1 or sum(looked_up[1:]) < looked_up[0] // 100
+
+
+def test_nth_one_equals_a_walk():
+    r = random.Random(26)
+    words = [r.getrandbits(64) & r.getrandbits(64) | 1 << r.randrange(64) for _ in range(200)] + [(1 << 64) - 1, 1, 1 << 63]
+    cases = [(w, n, p) for w in words for n, p in enumerate(i for i in range(64) if w >> i & 1)]
+    word, nth, place = zip(*cases)
+    assert ngram._nth_one(np.array(word, np.uint64), np.array(nth)).tolist() == list(place)
+
+
 def test_elias_fano_gives_values_back():
     r = np.random.default_rng(10)
     for n, top in ((1, 1), (1000, 10), (1000, 10**7), (5000, 2**40)):
