@@ -29,7 +29,7 @@ BLOCK, MOST_HOT = 2_000, 100_000
 #: Earlier lines that a line is first paired with under a key; the rest follow where none of these is near. Lines looked at in one step.
 FEW, STEP = 8, 64
 #: A row's place: words of the line, place of the run in it, and a code of 16 bits that rises with the document. A count at its bound is not compared.
-WORDS_AT, RUN_AT, MOST_WORDS, CODES = 40, 16, (1 << 23) - 1, 4_096
+WORDS_AT, RUN_AT, MOST_WORDS, CODES = 40, 16, (1 << 23) - 1, 256
 
 
 def _cuts(length: np.ndarray, segments: int, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +93,7 @@ def _word_runs(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(line, key, words and place, sketch): the rarest word runs of each line, so many that two lines within the allowed word edits share one.
+    """(line, key, words and place, sketch; words of every line): the rarest word runs of each line, so many that two lines within the allowed word edits share one.
 
     A word edit changes RUN runs of either line at most. Of the first ``RUN * edits + 1`` in one order of all runs
     (with all that equal the last), both lines thus hold the first run that the edits leave alone (prefix filter),
@@ -116,7 +116,7 @@ def _word_keys(buf: np.ndarray, start: np.ndarray, size: np.ndarray, frequent: t
     rank = rank[np.maximum.accumulate(np.where(new, every, 0))]  # equal runs go together
     first = rank <= RUN * edits[line]
     line = line[first]
-    return line, mix(run[first]).view(np.int64), np.minimum(n[line], MOST_WORDS) << WORDS_AT | np.minimum(place[first], MOST_WORDS) << RUN_AT, sketch[line]
+    return line, mix(run[first]).view(np.int64), np.minimum(n[line], MOST_WORDS) << WORDS_AT | np.minimum(place[first], MOST_WORDS) << RUN_AT, sketch[line], n
 
 
 def frequent_runs(source: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +231,10 @@ def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | No
         new |= known
         h, at, code = h[new], at[new], code[new]
         long = size[at] >= least
+        if frequent is not None:
+            whose, word_key, word_place, word_sketch, words = _word_keys(p.units, start[at], size[at], frequent)
+            # a byte edit is two word edits at most (a word is cut, or two become one): lines of so many words meet by their runs, with partners shorter by all these edits too
+            long &= words < (WORDS_AN_EDIT + 1) * 2 * tau
         own, probe = _keys(p, start[at[long]], size[at[long]], tau)
         fits = probe != 0
         key = [(own & ~3 | 1).ravel(), (probe & ~3)[fits]]
@@ -238,7 +242,6 @@ def _segments(tau: int, least: int, frequent: tuple[np.ndarray, np.ndarray] | No
         place = [np.repeat(code[long], own.shape[1]), np.repeat(code[long], probe.shape[1]).reshape(probe.shape)[fits]]
         sketch = [np.zeros(len(key[0]) + len(key[1]), np.int64)]
         if frequent is not None:
-            whose, word_key, word_place, word_sketch = _word_keys(p.units, start[at], size[at], frequent)
             key.append(word_key & ~3 | 1)
             line.append(h[whose])
             place.append(word_place | code[whose])

@@ -530,6 +530,20 @@ def test_lines_near_by_words_equal_all_pairs(spark):
     assert got == want and len(want) > 10
 
 
+def test_byte_edits_that_cut_and_join_words(spark):
+    r = random.Random(27)
+    docs = []
+    for n in range(38, 50):
+        w = prose(r, n).split()
+        at = r.randrange(1, n - 3)
+        joined, cut = " ".join(w).replace(f" {w[at]} ", f"x{w[at]}x", 1), " ".join([*w[:at], w[at][:1] + " " + w[at][1:], w[at + 1][:1] + " " + w[at + 1][1:], *w[at + 2 :]])
+        docs += [(3 * n, " ".join(w)), (3 * n + 1, joined), (3 * n + 2, cut)]
+    texts = [x for _, x in docs]
+    want = {d for k, (d, x) in enumerate(docs) if any(edit(x.encode(), y.encode()) <= 2 for y in texts[:k])}
+    got = {x.doc_id for x in linededup.gone_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert want <= got and len(want) == 24
+
+
 def test_short_lines_repeat_exactly(spark):
     text = "All rights reserved.\n  \n*\na b c d e f g h i j"
     docs = spark.createDataFrame([(1, text), (2, " All rights reserved. \nAll rights preserved.\n\n*\na b c d e f g h i k"), (3, "*")], "doc_id long, text string")
