@@ -157,16 +157,19 @@ class Automaton:
         start, size_o = pre.start[which][order], size[order]
         most, n = int(size_o[0]), len(order)
         last = np.full((most + 1, n), self.size, np.int32)
-        sums, down = pre.prefix.sums, pre.prefix.down
+        # the hash sums of each byte position of the words, side by side: the words themselves lie far apart
+        counts = np.searchsorted(-size_o, -np.arange(most + 1), side="right").tolist()
+        sums, down = ([table.take(start[:c] + i) for i, c in enumerate(counts)] for table in (pre.prefix.sums, pre.prefix.down))
         for i in range(1, most + 1):
-            live = np.arange(np.searchsorted(-size_o, -i, side="right"))
-            ends = sums[start[live] + i]
+            live, ends = np.arange(counts[i]), sums[i]
             for length in range(1, min(i, self.table.longest) + 1):
-                begin = start[live] + i - length
-                value = self.table.get(mix((ends - sums[begin]) * down[begin]))
+                value = self.table.get(mix((ends - sums[i - length].take(live)) * down[i - length].take(live)))
                 token = np.flatnonzero(value >= 0)
-                found = token[self.follows(value[token], last[i - length][live[token]])]
-                last[i][live[found]] = value[found]
+                to = live.take(token)
+                ids = value.take(token)
+                found = np.flatnonzero(self.follows(ids, last[i - length].take(to)))
+                last[i][to.take(found)] = ids.take(found)
+                found = token.take(found)
                 keep = value != -2
                 keep[found] = False
                 if not keep.any():
@@ -235,7 +238,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, PreTokens]:
         """(ids end to end, ids per text, the pre-tokens)."""
         pre = PreTokens(texts)
-        distinct, first, inverse = np.unique(pre.hash, return_index=True, return_inverse=True)
+        coded = pa.array(pre.hash).dictionary_encode()
+        distinct, inverse = coded.dictionary.to_numpy(), coded.indices.to_numpy()  # by first use
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(inverse), prepend=-1))
         if len(self.known) + len(distinct) > KEPT_WORDS:
             self._forget()
         place = np.full(len(distinct), -1)
@@ -247,7 +252,7 @@ class Encoder:
             ids, n = self.machine.encode_words(pre, first[new])
             place[new] = len(self.at) + np.arange(len(new))
             known = np.concatenate((self.known, distinct[new]))
-            order = np.argsort(known, kind="stable")  # a merge of two runs
+            order = np.argsort(known, kind="stable")
             self.known, self.place = known[order], np.concatenate((self.place, place[new]))[order]
             self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(n) - n))
             self.n = np.concatenate((self.n, n))

@@ -45,6 +45,28 @@ _SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))),
 _STRETCH = np.clip(np.rint(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256), -2047, 2047).astype(np.int64)
 
 
+_SQUASHED = _SQUASH.astype(float)
+#: What makes a mixed sum's place in that table.
+MIDDLE = 2047 << 16
+#: Pairs of states and whether the predictions agree, by block.
+KEYS = 2 * STATES * STATES
+#: Courses of an id through a step of ``_events``, and the first of each: order 2 is right; it fails, and order 1 agrees, so the id is known or new;
+#: order 1 fails too, the id is new or known; order 1 is right; order 1 alone is right, fails, id known or new; no order has a prediction, id new or known.
+COURSES = 11
+
+
+def _course(flags: int) -> int:
+    right2, right1, agree, tried2, tried1, new = (flags >> k & 1 for k in range(6))
+    if right2:
+        return 0
+    if tried2:
+        return 1 + new if agree else 5 if right1 else 4 - new
+    return (6 if right1 else 7 + new) if tried1 else 10 - new
+
+
+_COURSE = np.array([_course(flags) for flags in range(64)], np.int8)
+
+
 def is_snapshot(place: int) -> bool:
     return place % SNAPSHOT == 0 or place == 128
 
@@ -56,161 +78,198 @@ def prior(size: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(1 + (1 << 20) // (np.arange(size, dtype=np.int64) + 256))))
 
 
-class Bits:
-    """Adaptive probabilities of one kind of bit by block and context state, and weights that mix them with other inputs."""
-
-    def __init__(self, blocks: int, start: list[float] | None = None) -> None:
-        self.cells = blocks * STATES
-        self.hit, self.tried = np.zeros((2, self.cells), np.int64)
-        self.weight = [np.full(self.cells, int(w * ONE), np.int64) for w in start or []]
-        self.refresh()
-
-    def refresh(self) -> None:
-        self.rate = np.clip(((2 * self.hit + 1) << 16) // (2 * self.tried + 2), 32, 65504)
-        self.stretched = _STRETCH[self.rate >> 4]
-
-    def mix(self, cell: np.ndarray, inputs: list[np.ndarray]) -> np.ndarray:
-        total = np.zeros(len(cell), np.int64)
-        for w, x in zip(self.weight, inputs):
-            total += w.take(cell) * x
-        return _SQUASH[np.clip(total >> 16, -2047, 2047) + 2047]
-
-    def learn(self, cell: np.ndarray, bit: np.ndarray, p: np.ndarray | None = None, inputs: list[np.ndarray] | None = None) -> None:
-        """Takes in the bits of one step; sums are exact, being below 2**53."""
-        self.hit += np.bincount(cell[bit], minlength=self.cells)
-        self.tried += np.bincount(cell, minlength=self.cells)
-        if p is not None:
-            error = (bit.astype(np.int64) << 16) - p
-            for w, x in zip(self.weight, inputs):
-                w += np.bincount(cell, error * x, self.cells).astype(np.int64) >> STEP_SHIFT
-        old = self.tried > LIMIT
-        self.hit[old] >>= 1
-        self.tried[old] >>= 1
-        self.refresh()
-
-
 def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(places by key then place, whether a key begins there)."""
-    order = np.sort((key.astype(U64) << U64(bits)) | np.arange(len(key), dtype=U64))
-    key = order >> U64(bits)
-    return (order & U64((1 << bits) - 1)).astype(np.int32), np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
-
-
-def _context(ids: np.ndarray, place: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(last place of the same context or -1, whether its id comes again, state) from the order of the contexts."""
-    last = np.full(len(ids), -1, np.int32)
-    again = ~new[1:]
-    last[place[1:][again]] = place[:-1][again]
-    known = last >= 0
-    right = known & (ids[last] == ids)
-    older = last[last]
-    state = np.where(known, 1 + 2 * right[last] + (right[older] & (older >= 0)), 0).astype(np.int8)
-    return last, right, state
-
-
-def _split(low: np.ndarray, width: np.ndarray, at: np.ndarray, p: np.ndarray, bit: np.ndarray) -> None:
-    """Narrows the intervals at ``at`` to the lower ``p`` of 2**16 where ``bit`` is set, else to what is above."""
-    w = width[at]
-    part = w * p >> 16
-    low[at] += np.where(bit, 0, part)
-    width[at] = np.where(bit, part, w - part)
-
-
-def _events(ids: np.ndarray, sizes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(low, width and total of each coding step, block by block; steps of each block, filled up with idle ones to share out among its streams)."""
+    both = key.astype(U64)
+    both <<= U64(bits)
+    both |= np.arange(len(key), dtype=U64)
+    both.sort()
+    order = (both & U64((1 << bits) - 1)).astype(np.int32)
+    both >>= U64(bits)
+    new = np.ones(len(key), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    return order, new
+
+
+def _context(own: np.ndarray, order: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(what came last in the same context, whether it comes again, state) from the order of the contexts."""
+    sorted_ = own[order]
+    known = ~new
+    right = np.zeros(len(own), bool)
+    np.equal(sorted_[1:], sorted_[:-1], out=right[1:])
+    right &= known
+    # the outcomes of the last two predictions stand before a place, where its context has begun by then
+    state = known.astype(np.int8)
+    state[1:] += 2 * (right[:-1] & known[1:]).view(np.int8)
+    state[2:] += (right[:-2] & known[1:-1] & known[2:]).view(np.int8)
+    both = np.empty(len(own), np.int8)
+    both[order] = 2 * state + right
+    guess = np.empty(len(own), np.int32)
+    guess[order[1:]] = sorted_[:-1]
+    guess[order[:1]] = 0
+    return guess, (both & 1).view(bool), both >> 1
+
+
+def _mixed(fixed: np.ndarray, weight: np.ndarray, key: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Mixed probabilities: the inputs that a key settles, ``fixed``, and the frequency; ``take`` cuts off what is beyond the table."""
+    total = weight.take(key)
+    total *= f
+    total += fixed.take(key)
+    total *= 1 / ONE
+    return _SQUASHED.take(total.astype(np.intp), mode="clip")
+
+
+def _narrow(low: np.ndarray, width: np.ndarray, p: np.ndarray, yes: int, no: int) -> None:
+    """Narrows the intervals from ``yes`` to ``no`` to the lower ``p`` of 2**16, the others to what is above; whole numbers held as floats."""
+    part = width * p
+    part *= 1 / ONE
+    np.floor(part, out=part)
+    low[:yes] += part[:yes]
+    width[:yes] -= part[:yes]
+    low[no:] += part[no:]
+    width[no:] -= part[no:]
+    width[yes:no] = part[yes:no]
+
+
+def _events(ids: np.ndarray, sizes: np.ndarray, size: int, pairs: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Puts low and width, in one word, and total of each coding step into ``pairs`` and ``totals``, block by block; gives the steps of each block, filled up with idle ones to share out among its streams.
+
+    Sums are of whole numbers below 2**53, so floats hold them exactly.
+    """
     n, blocks = len(ids), len(sizes)
     bits = (n + 1).bit_length()
     if 3 * bits > 64:
         raise ValueError("too many ids at a time")
     start = np.cumsum(sizes) - sizes
-    block = np.repeat(np.arange(blocks), sizes)
-    place = ragged(sizes)
-    seen = np.zeros(size, np.int64)
+    block = np.repeat(np.arange(blocks, dtype=np.int32), sizes)
+    place = ragged(sizes).astype(np.int32)
+    seen = np.zeros(size, np.int32)
     seen[ids] = 1
-    dense = (np.cumsum(seen) - 1)[ids]
-    names = int(seen.sum()) + 1  # the last stands for what precedes a block
-    order, new = _sorted(block * names + dense, bits)
+    names = int(seen.sum())
+    order, new = _sorted(block * np.int64(names) + (np.cumsum(seen) - 1)[ids], bits)
     first = np.empty(n, np.int32)
-    first[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    fresh = np.cumsum(first == np.arange(n))
-    nth = (fresh - np.repeat(fresh[start] - 1, sizes) - 1)[first].astype(np.int32)  # ids of a block by first use
-    before = np.concatenate(([names - 1] * 2, dense))
-    order, new = _sorted(block * names + np.where(place > 0, before[1 : n + 1], names - 1), bits)
-    last1, right1, s1 = _context(ids, order, new)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(new) - 1
-    order, new = _sorted(rank * names + np.where(place > 1, before[:n], names - 1), bits)
-    last2, right2, s2 = _context(ids, order, new)
-    del order, new, rank, before, dense, fresh
-    # in order of step, then block, then place, so that a step is a slice
-    by = np.argsort((place // LEARN).astype(np.uint16), kind="stable").astype(np.int32)
-    edge = np.concatenate(([0], np.cumsum(np.bincount(place // LEARN))))
+    heads = np.flatnonzero(new)
+    first[order] = np.repeat(order[heads], np.diff(heads, append=n))
+    fresh = np.cumsum(first == np.arange(n, dtype=np.int32), dtype=np.int32)
+    nth = (fresh - np.repeat(fresh[start], sizes))[first]  # ids of a block by first use
     wide = int(nth.max()) + 1
-    cell0 = block[by] * STATES
-    row = block[by] * wide
-    own, guess1, guess2 = ((row + nth[i]).astype(np.int32) for i in (by, last1[by], last2[by]))
-    known_from = (first[by] - start[block[by]]).astype(np.int32)
-    agree = ((s1 > 0) & (s2 > 0) & (ids[last1] == ids[last2]))[by]
-    s1, s2, right1, right2, x = s1[by], s2[by], right1[by], right2[by], ids[by]
-    del last1, last2, first, nth, row, place
-    count = np.zeros((blocks, wide), np.int32)
-    table, upto = count.reshape(-1).copy(), count.reshape(-1).copy()
-    second, first_, novel = Bits(blocks, WEIGHTS[0]), Bits(blocks, WEIGHTS[1]), Bits(blocks)
-    low, width = np.zeros(n, np.uint32), np.empty(n, np.uint32)
-    literal: list[list[np.ndarray]] = [[], [], [], []]  # place, low, width, total
+    if blocks * (wide + 1) >= 1 << 31:
+        raise ValueError("too many ids and blocks at a time")
+    own = block * np.int32(wide) + nth
+    key = np.empty(n, np.int64)
+    key[1:] = own[:-1]
+    key[start] = blocks * wide + np.arange(blocks)  # what precedes a block
+    order, new = _sorted(key, bits)
+    guess1, right1, s1 = _context(own, order, new)
+    key[order] = np.cumsum(new) - 1
+    key *= wide + 1
+    key[2:] += nth[:-2]
+    for early in (start, start[sizes > 1] + 1):
+        key[early] += wide - np.where(early > 1, nth[np.maximum(early - 2, 0)], 0)
+    order, new = _sorted(key, bits)
+    guess2, right2, s2 = _context(own, order, new)
+    # What is tried, and whether it is right, does not depend on what was learnt. So ids are put in order of step, then of their
+    # course through it, then block, then place: each set of ids that goes through the same is a slice.
+    agree = (s2 > 0) & (guess1 == guess2)
+    step = place // np.int32(LEARN)
+    snaps = np.array([max((p for p in (128, j * LEARN // SNAPSHOT * SNAPSHOT) if p <= j * LEARN), default=0) for j in range(int(step.max()) + 1)], np.int32)
+    course = step * np.int32(COURSES)
+    known_from = place[first]
+    flags = right2 | right1.view(np.int8) << 1 | agree.view(np.int8) << 2 | (s2 > 0).view(np.int8) << 3 | (s1 > 0).view(np.int8) << 4 | (known_from >= snaps[step]).view(np.int8) << 5
+    course += _COURSE[flags]
+    cuts = np.concatenate(([0], np.cumsum(np.bincount(course, minlength=len(snaps) * COURSES)))).tolist()
+    by = np.argsort(course.astype(np.min_scalar_type(len(snaps) * COURSES)), kind="stable").astype(np.int32)
+    most = np.maximum.accumulate(np.maximum.reduceat(nth[by], cuts[:-1:COURSES])).tolist()  # ids of a block so far, less one
+    own, guess1, guess2, x = own[by], guess1[by], guess2[by], ids[by]
+    key = ((s2 * np.int8(2 * STATES) + s1 * np.int8(2) + agree).astype(np.int64) * blocks + block)[by]
+    del order, new, fresh, first, known_from, nth, place, step, course, flags, agree, right1, right2, s1, s2, block
+    shape = (STATES, STATES, 2, blocks)  # of the keys: state of order 2, of order 1, whether they agree, block
+    count, upto = np.zeros((2, blocks, wide), np.int32)
+    table, upto_ = count.reshape(-1), upto.reshape(-1)
+    # of order 2, order 1 and novelty: adaptive probabilities by context state and block, and weights that mix them with other inputs
+    hit, tried = np.zeros((2, 3, STATES, blocks), np.int64)
+    weight = np.empty((2, 3, STATES, blocks), np.int64)
+    weight[:] = np.array([[int(w * ONE) for w in start_] for start_ in WEIGHTS])[:, :, None, None]
+    pair, pair2 = np.empty((2, n), U64)  # low and width of the first coding step, of the second where there is one
+    total2 = np.empty(n, np.uint32)
+    twice = np.zeros(n, bool)
     prior_at = prior(size)
-    flat, snap, taken = count.reshape(-1), 0, 0
-    for j, (a, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+    taken, keys = 0, KEYS * blocks
+    fixed, scale, sums = np.empty((2, *shape)), np.empty((2, *shape)), np.empty((12, *shape))
+    rate0, flat = np.empty(shape), sums.reshape(12, keys)
+    for j, snap in enumerate(snaps.tolist()):
+        a, d1, d2, c1, c2, b, e, f1, f2, g1, g2, end = cuts[j * COURSES : (j + 1) * COURSES + 1]
         if is_snapshot(j * LEARN):
-            np.add.at(flat, own[taken:a], np.int32(1))
-            taken, snap = a, j * LEARN
-            most = min(wide, snap)
-            table = flat.copy()
-            np.cumsum(count[:, :most], axis=1, out=upto.reshape(blocks, wide)[:, :most])
-        cell = cell0[a:e]
-        c2, c1 = cell + s2[a:e], cell + s1[a:e]
-        per = ONE if snap == 0 else snap
-        f2, f1 = (_STRETCH[np.minimum((table.take(g[a:e]).astype(np.int64) << 16) // per, 65535) >> 4] for g in (guess2, guess1))
-        m2 = s2[a:e] > 0
-        i = np.flatnonzero(m2)
-        in2 = [second.stretched[c2[i]], np.where(s1[a:e][i] == 0, 0, np.where(agree[a:e][i], 1, -1)) * first_.stretched[c1[i]], f2[i]]
-        p2 = second.mix(c2[i], in2)
-        bit2 = right2[a:e][i]
-        lo, w = np.zeros(e - a, np.int64), np.full(e - a, TOTAL)
-        _split(lo, w, i, p2, bit2)
-        left = np.ones(e - a, bool)
-        left[i] = ~bit2
-        k = np.flatnonzero(left & (s1[a:e] > 0) & ~(m2 & agree[a:e]))
-        in1 = [first_.stretched[c1[k]], np.where(m2[k], second.stretched[c2[k]], 0), f1[k]]
-        p1 = first_.mix(c1[k], in1)
-        bit1 = right1[a:e][k]
-        _split(lo, w, k, p1, bit1)
-        left[k] = ~bit1
-        l = np.flatnonzero(left)
-        bit0 = known_from[a:e][l] >= snap
-        _split(lo, w, l, np.clip(novel.rate[c1[l]], *FRESH), bit0)
-        low[a:e], width[a:e] = lo, w
-        at, v = own[a:e][l], x[a:e][l]
-        used = table[at]
-        for o, part in zip(literal, (a + l, np.where(bit0, prior_at[v], upto[at] - used), np.where(bit0, prior_at[v + 1] - prior_at[v], used), np.where(bit0, prior_at[-1], snap))):
-            o.append(part)
-        second.learn(c2[i], bit2, p2, in2)
-        first_.learn(c1[k], bit1, p1, in1)
-        novel.learn(c1[l], bit0)
-    at, *events = (np.concatenate(o) for o in literal)
-    count = np.ones(n, np.int8)
-    count[by[at]] = 2
-    coded, each = np.add.reduceat(count, start, dtype=np.int64), streams_of(sizes)
+            np.add.at(table, own[taken:a], np.int32(1))
+            so_far = most[j - 1] + 1 if j else 0
+            taken = a
+            np.cumsum(count[:, :so_far], axis=1, dtype=np.int32, out=upto[:, :so_far])
+            stretch = _STRETCH[np.minimum((np.arange(snap + 1) << 16) // (snap or ONE), 65535) >> 4].astype(float)
+        rate = ((2 * hit + 1) << 16) // (2 * tried + 2)  # from 128 to 65408, as no more than LIMIT are tried
+        x2, x1 = _STRETCH.take(rate[:2] >> 4)
+        # what the other order gives: order 1 counts against order 2 where they differ; order 2 gives nothing where it has none
+        other = np.stack((-x1, x1), axis=1)
+        x2_or_0 = x2.copy()
+        x2_or_0[0] = 0
+        fixed[0] = (weight[0, 0] * x2 + MIDDLE)[:, None, None] + weight[0, 1][:, None, None] * other
+        fixed[1] = ((weight[1, 0] * x1 + MIDDLE) + weight[1, 1] * x2_or_0[:, None])[:, :, None]
+        scale[0], scale[1] = weight[0, 2][:, None, None], weight[1, 2][:, None]
+        rate0[:] = np.clip(rate[2], *FRESH)[:, None]
+        lo, w = np.zeros(end - a), np.full(end - a, float(TOTAL))
+        for kind, (u, yes, no, v, guess) in enumerate(((a, a, d1, e, guess2), (c1, b, f1, g1, guess1))):
+            at, rows = key[u:v], flat[5 * kind :]
+            f = stretch.take(table.take(guess[u:v]))
+            p = _mixed(fixed[kind].reshape(-1), scale[kind].reshape(-1), at, f)
+            _narrow(lo[u - a : v - a], w[u - a : v - a], p, yes - u, no - u)
+            error = np.negative(p, out=p)
+            error[yes - u : no - u] += ONE
+            f *= error
+            rows[0], rows[1] = np.bincount(key[yes:no], minlength=keys), np.bincount(at, minlength=keys)
+            rows[2], rows[3] = np.bincount(at, error, keys), np.bincount(at, f, keys)
+        flat[10:] = 0
+        for u, yes, no, v in ((d1, d2, c2, b), (f1, f2, g2, end)):
+            at = key[u:v]
+            _narrow(lo[u - a : v - a], w[u - a : v - a], rate0.take(at), yes - u, no - u)
+            flat[10] += np.bincount(key[yes:no], minlength=keys)
+            flat[11] += np.bincount(at, minlength=keys)
+            twice[u:v] = True
+            low2 = prior_at.take(x[yes:no])
+            pair2[yes:no] = low2 | (prior_at.take(x[yes:no] + 1) - low2) << 32
+            total2[u:v] = snap
+            total2[yes:no] = prior_at[-1]
+            for known in (slice(u, yes), slice(no, v)):
+                used = table.take(own[known]).astype(np.int64)
+                pair2[known] = (upto_.take(own[known]) - used) | used << 32
+        pair[a:end] = w
+        pair[a:end] <<= U64(32)
+        pair[a:end] |= lo.astype(U64)
+        np.multiply(sums[2], other, out=sums[4])
+        np.multiply(sums[7], x2_or_0[:, None, None], out=sums[9])
+        of2, of1 = sums[:5].sum((2, 3)).astype(np.int64), sums[5:].sum((1, 3)).astype(np.int64)
+        for kind, (sum_, x_) in enumerate(((of2, x2), (of1, x1))):
+            weight[kind] += np.stack((sum_[2] * x_, sum_[4], sum_[3])) >> STEP_SHIFT
+        hit += np.stack((of2[0], of1[0], of1[5]))
+        tried += np.stack((of2[1], of1[1], of1[6]))
+        old = tried > LIMIT
+        hit >>= old
+        tried >>= old
+    del own, guess1, guess2, x, key
+    counted = np.ones(n, np.int8)
+    counted[by[twice]] = 2
+    coded, each = np.add.reduceat(counted, start, dtype=np.int64), streams_of(sizes)
     padded = -(-coded // each) * each
-    base = (np.cumsum(count, dtype=np.int64) - count + np.repeat(np.cumsum(padded - coded) - (padded - coded), sizes))[by]
-    made = np.empty((3, int(padded.sum())), np.uint32)
+    to = np.cumsum(counted, dtype=np.int32)
+    to -= counted
+    to += np.repeat((np.cumsum(padded - coded) - (padded - coded)).astype(np.int32), sizes)
+    to = to[by]
     idle = padded - coded
-    made[:, np.repeat(np.cumsum(padded) - idle, idle) + ragged(idle)] = np.array([[0], [1], [1]], np.uint32)
-    to = base.take(at) + 1
-    for row, first_step, second_step in zip(made, (low, width, TOTAL), events):
-        row[base] = first_step
-        row[to] = second_step
-    return made, padded
+    at = np.repeat(np.cumsum(padded) - idle, idle) + ragged(idle)
+    totals[: int(padded.sum())] = TOTAL
+    pairs[at], totals[at] = U64(1 << 32), 1
+    pairs[to] = pair
+    to = to[twice] + 1
+    pairs[to], totals[to] = pair2[twice], total2[twice]
+    return padded
 
 
 def streams_of(n):
@@ -224,17 +283,16 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, size: int) -> list[bytes]:
         return []
     # the models run over some blocks at a time, which bounds their memory; the coders over all, which spreads their steps
     ends = np.cumsum(sizes)
-    parts, counts, first = [], [], 0
+    room = 2 * len(ids) + STREAMS * len(sizes)  # of which what isn't needed isn't touched
+    pairs, totals = np.empty(room, U64), np.empty(room, np.uint32)
+    counts, first, used = [], 0, 0
     while first < len(sizes):
         start = int(ends[first] - sizes[first])
         last = max(first + 1, int(np.searchsorted(ends, start + MODEL_TOKENS, side="right")))
-        made, padded = _events(ids[start : ends[last - 1]].astype(np.int64), sizes[first:last], size)
-        parts.append(made)
-        counts.append(padded)
+        counts.append(_events(ids[start : ends[last - 1]].astype(np.int64), sizes[first:last], size, pairs[used:], totals[used:]))
+        used += int(counts[-1].sum())
         first = last
     n, each = np.concatenate(counts), streams_of(sizes)
-    lows, widths, totals = parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)
-    parts.clear()
     rounds = n // each
     order = np.argsort(-rounds, kind="stable")  # the live coders are always the first ones
     lanes, most = int(each.sum()), int(rounds.max())
@@ -244,29 +302,36 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, size: int) -> list[bytes]:
     jump = np.repeat(each[order], each[order])
     low = np.zeros(lanes, U64)
     span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U64)
-    words = np.zeros((lanes, most + 3), np.uint32)
-    filled = np.zeros(lanes, np.int64)
+    words = np.zeros((most + 3, lanes), np.uint32)  # the coders' nth words are neighbours
+    flat, write = words.reshape(-1), np.arange(lanes)
     live = np.searchsorted(-np.repeat(rounds[order], each[order]), -np.arange(1, most + 1), side="right").tolist()
-    limit = U64(1 << 32)
-    for k in range(most):
-        m = live[k]
+    limit, half, one = U64(1 << 32), U64(32), U64(1)
+    for m in live:
         lo, sp, now = low[:m], span[:m], at[:m]
-        sp //= totals[now]
-        lo += lows[now] * sp
-        sp *= widths[now]
+        pair = pairs.take(now)
+        sp //= totals.take(now)
+        lo += (pair & _LOW32) * sp
+        pair >>= half
+        sp *= pair
         now += jump[:m]
-        need = np.flatnonzero(sp < limit)
+        need = (sp < limit).nonzero()[0]
         if len(need):
-            a, r = lo[need], sp[need]
+            a, r = lo.take(need), sp.take(need)
+            top = a >> half
             # an interval across a word's edge is cut at the edge, so that the word is settled
-            r = np.where((a >> U64(32)) != ((a + r - U64(1)) >> U64(32)), limit - (a & _LOW32), r)
-            words[need, filled[need]] = (a >> U64(32)).astype(np.uint32)
-            filled[need] += 1
-            lo[need] = a << U64(32)
-            sp[need] = r << U64(32)
-    words[np.arange(lanes), filled] = (low >> U64(32)).astype(np.uint32)
-    words[np.arange(lanes), filled + 1] = (low & _LOW32).astype(np.uint32)
-    coded = [words[r, : filled[r] + 2].astype(">u4").tobytes() for r in range(lanes)]
+            across = (a + r - one) >> half != top
+            if across.any():
+                r = np.where(across, limit - (a & _LOW32), r)
+            to = write.take(need)
+            flat[to] = top
+            write[need] = to + lanes
+            lo[need] = a << half
+            sp[need] = r << half
+    flat[write] = low >> half
+    flat[write + lanes] = low & _LOW32
+    filled = write // lanes + 2
+    words = words[: int(filled.max())].T.astype(">u4", order="C")
+    coded = [words[r, :k].tobytes() for r, k in enumerate(filled.tolist())]
     # the lengths of all streams but the last come first
     return [np.array([len(c) for c in own[:-1]], ">u4").tobytes() + b"".join(own) for own in (coded[c : c + k] for c, k in zip(column.tolist(), each.tolist()))]
 
