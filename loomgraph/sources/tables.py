@@ -26,8 +26,10 @@ def save_extractions(df: DataFrame, folder: str) -> None:
 
 def stale(manifest: DataFrame, model: str, domain: str, chunk_size: int) -> DataFrame:
     """``manifest`` with the first reason for which a document must be extracted again, null where it is fresh."""
-    missing = F.col("model_used").isNull() | (F.col("model_used") == "") | (F.col("chunk_size").isNull()) | (F.col("chunk_size") == 0)
-    reason = F.when(missing, "no metadata").when(F.col("model_used") != model, "model changed").when(F.coalesce("domain_name", F.lit("")) != domain, "domain changed").when(F.col("chunk_size") != chunk_size, "chunk size changed")
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    size = F.coalesce("chunk_size", F.lit(0))
+    missing = blank("model_used") | (blank("domain_name") & (size == 0))
+    reason = F.when(missing, "no metadata").when(F.col("model_used") != model, "model changed").when(F.coalesce("domain_name", F.lit("")) != domain, "domain changed").when(size != chunk_size, "chunk size changed")
     return manifest.withColumn("stale_reason", reason)
 
 

@@ -58,6 +58,20 @@ def test_report_timeline_takes_the_first_stored_of_equal_lines(spark, tmp_path):
     assert got == {("1997-05-01", "Order 1"), ("1997-05-20", "Seven")}
 
 
+def test_staleness_of_odd_documents_equals_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, s, la, n) for i, (s, la, n) in enumerate((s, la, n) for s in ("a", "b", "", None) for la in ("en", "de", "", None) for n in (100, 7, 0, None))]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long").write.parquet(path)
+    for where in ("true", "source <> ''"):
+        spark.read.parquet(path).where(where).write.parquet(str(tmp_path / f"of-{where[0]}" / "documents.parquet"))
+        got = queries.QUERIES["staleness_split"](spark, str(tmp_path / f"of-{where[0]}")).collect()
+        c = duckdb.connect()
+        c.execute(f"create view documents as select * from read_parquet('{tmp_path}/of-{where[0]}/documents.parquet/*.parquet')")
+        assert sorted(map(tuple, got), key=repr) == sorted(c.execute(queries.SQL["staleness_split"]).fetchall(), key=repr)
+
+
 def test_entry_without_training_data_subpackage(monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     sys.modules.pop("__spark_entry__", None)
