@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import canonical_key, dedup_key, name_key, relation_id
 from ..functions.texts import clamped
 from ..schemas import MENTION
+from ..session import spread
 
 MODES = ("product_complement", "mean", "max")
 
@@ -33,20 +34,24 @@ def canonical_relations(mentions: DataFrame, mode: str = "product_complement") -
     """Edges from mentions (source, relation_type, target, confidence, evidence, source_document, relation_id, seq).
 
     One edge for each source, type and target. The mention of the highest confidence gives evidence and document, the last
-    of equals; blank documents don't count as support.
+    of equals; blank documents don't count as support. Without a column ``relation_id`` it follows from ends, type and document.
     """
-    m = mentions.withColumn("confidence", clamped(F.col("confidence")))
-    docs = F.array_distinct(in_order(F.col("seq"), F.when(F.trim("source_document") != "", F.col("source_document"))))
-    best = F.max_by(F.struct("evidence", "source_document"), F.struct("confidence", "seq"))
-    mention = F.struct("source_document", "confidence", "evidence", "relation_id").cast(MENTION)
-    grouped = m.groupBy("source", "relation_type", "target").agg(
-        combined(F.col("confidence"), mode).alias("confidence"), best.alias("best"), F.count("*").cast("int").alias("support_count"),
-        F.filter(docs, lambda d: d.isNotNull()).alias("support_documents"), in_order(F.col("seq"), mention).alias("mentions"), F.min_by("relation_id", "seq").alias("relation_id"),
-    )
+    keys = ["source", "relation_type", "target"]
+    given = ["relation_id"] if "relation_id" in mentions.columns else []
+    # few mentions share an edge: lists begun before the shuffle would only be sorted and spilled, so plain rows go, each once
+    m = spread(mentions.select(*keys, F.struct("seq", clamped(F.col("confidence")).alias("confidence"), "evidence", "source_document", *given).alias("m")), "source", "target")
+    grouped = m.groupBy(*keys).agg(combined(F.col("m.confidence"), mode).alias("confidence"), F.sort_array(F.collect_list("m")).alias("m"))
+    rid = lambda x: x["relation_id"] if given else relation_id(F.col("source"), F.col("relation_type"), F.col("target"), x["source_document"])
+    grouped = grouped.withColumns({
+        "support_documents": F.array_distinct(F.transform(F.filter("m", lambda x: F.trim(x["source_document"]) != ""), lambda x: x["source_document"])),
+        "best": F.array_max(F.transform("m", lambda x: F.struct(x["confidence"].alias("confidence"), x["seq"].alias("seq"), x["evidence"].alias("evidence"), x["source_document"].alias("source_document")))),
+        "mentions": F.transform("m", lambda x: F.struct(x["source_document"].alias("source_document"), x["confidence"].alias("confidence"), x["evidence"].alias("evidence"), rid(x).alias("relation_id"))).cast(f"array<{MENTION}>"),
+        "relation_id": rid(F.element_at("m", 1)),
+    })
     key = canonical_key(F.col("source"), F.col("relation_type"), F.col("target"))
     return grouped.select(
         key.alias("edge_key"), "source", "target", "relation_type", "relation_id", key.alias("canonical_key"), "confidence", F.col("best.evidence").alias("evidence"),
-        F.col("best.source_document").alias("source_document"), "support_count", "support_documents", F.size("support_documents").alias("support_doc_count"), "mentions",
+        F.col("best.source_document").alias("source_document"), F.size("m").cast("int").alias("support_count"), "support_documents", F.size("support_documents").alias("support_doc_count"), "mentions",
     )
 
 

@@ -88,17 +88,23 @@ def location_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supply_mentions(spark, sf_dir).unionByName(order_mentions(spark, sf_dir)).unionByName(location_mentions(spark, sf_dir))
+    """All mentions; their ids follow from the rest, so they aren't carried through shuffles."""
+    return supply_mentions(spark, sf_dir).unionByName(order_mentions(spark, sf_dir)).unionByName(location_mentions(spark, sf_dir)).drop("relation_id")
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph as stored tables: built once a session for each folder, as a user builds once and asks often."""
+def saved(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the graph's tables: built once a session for each folder, as a user builds once and asks often."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
         path = f"{checkpoint_folder(spark).rstrip('/')}/loomgraph-graph-{uuid.uuid4().hex}"
         save_tables(Graph(nodes(spark, sf_dir), canonical_relations(mentions(spark, sf_dir))), path)
         _STORED[key] = path
-    return tables(spark, _STORED[key])
+    return _STORED[key]
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph as stored tables."""
+    return tables(spark, saved(spark, sf_dir))
 
 
 def geography(spark: SparkSession, sf_dir: str) -> Graph:

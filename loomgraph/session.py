@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input files to a partition of rows that are to be collected into lists: some 100 MB unpacked.
+SPREAD_BYTES = 8 << 20
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -44,3 +47,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` as plain rows, into partitions that an aggregation to lists can sort in memory.
+
+    From some size on their number follows from the input, as partitions of the size that adaptive execution aims at
+    grow to many times that when unpacked. It never goes under what the session sets.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 50)
+    if known < 4 * SPREAD_BYTES:
+        return df.repartition(*keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // SPREAD_BYTES), *keys)

@@ -6,7 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import aggregate, clean, communities, resolution, stories, views
+from loomgraph.operators import aggregate, clean, communities, flat, resolution, stories, views
 from loomgraph.plans.build import build
 from loomgraph.schemas import EXTRACTIONS, NODES, PROPOSALS, REVIEWS, Graph
 from loomgraph.sinks import exports
@@ -230,3 +230,17 @@ def test_communities_of_cliques_stars_and_rings(spark):
     assert _modularity(pairs, label) > 0.9 * _modularity(pairs, truth)
     again = {x.id: x.raw for x in communities.raw_communities(df.repartition(3)).collect()}
     assert again == label
+
+
+def test_mentions_are_shuffled_once_as_plain_rows(spark):
+    rows = [("a", "KNOWS", "b", 0.5, "x", "d1"), ("a", "KNOWS", "b", 0.9, "y", " "), ("a", "KNOWS", "b", 0.9, "z", "d2"), ("b", "KNOWS", "a", 0.1, "w", "d1")]
+    m = mentions(spark, rows)
+    m = m.withColumn("relation_id", F.concat_ws("|", "source", "relation_type", "target", "source_document"))
+    given, derived = (aggregate.canonical_relations(x) for x in (m, m.drop("relation_id")))
+    assert sorted(map(repr, derived.collect())) == sorted(map(repr, given.collect()))
+    e = {r.source: r for r in derived.collect()}["a"]
+    assert (e.evidence, e.support_documents, e.support_count, e.relation_id) == ("z", ["d1", "d2"], 3, "a|KNOWS|b|d1")
+    for df in (given, flat.flat_edges(spark.createDataFrame(given.collect(), given.schema))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffled = plan[plan.index("Exchange hashpartitioning") :]  # what is above the first shuffle is done after it
+        assert "collect_" not in shuffled and plan.count("Exchange hashpartitioning") == 1
