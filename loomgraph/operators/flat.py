@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import edge_width, node_size
 from ..schemas import Graph
+from ..session import spread
 from .views import degrees
 
 PALETTE = ["#4C9BE8", "#E8734C", "#5CB85C", "#B26FD1", "#E8C34C", "#4CC9B0", "#D1596F", "#8C8C8C", "#7A9E3F", "#9B6B43"]
@@ -19,7 +20,7 @@ def flat_edges(edges: DataFrame) -> DataFrame:
     # an empty evidence is left out where it is the first edge's alone
     rest = F.array_sort(F.collect_set("evidence"))
     blank_later = F.count_if((F.col("evidence") == "")) - F.when(first == "", 1).otherwise(0)
-    e = edges.groupBy("source", "target").agg(
+    e = spread(edges, "source", "target").groupBy("source", "target").agg(
         F.array_join(F.array_sort(F.collect_set(F.nullif("relation_type", F.lit("")))), "; ").alias("relation_type"), rest.alias("_e"), blank_later.alias("_b"), F.max("confidence").alias("confidence"),
         F.sum(F.greatest(F.lit(1), F.coalesce("support_count", F.lit(1)))).alias("support_count"), docs.alias("_d"),
     )
