@@ -241,6 +241,6 @@ def test_mentions_are_shuffled_once_as_plain_rows(spark):
     e = {r.source: r for r in derived.collect()}["a"]
     assert (e.evidence, e.support_documents, e.support_count, e.relation_id) == ("z", ["d1", "d2"], 3, "a|KNOWS|b|d1")
     for df in (given, flat.flat_edges(spark.createDataFrame(given.collect(), given.schema))):
-        plan = df._jdf.queryExecution().executedPlan().toString()
+        plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
         shuffled = plan[plan.index("Exchange hashpartitioning") :]  # what is above the first shuffle is done after it
         assert "collect_" not in shuffled and plan.count("Exchange hashpartitioning") == 1
