@@ -244,3 +244,11 @@ def test_mentions_are_shuffled_once_as_plain_rows(spark):
         plan = df.select("*")._jdf.queryExecution().executedPlan().toString()
         shuffled = plan[plan.index("Exchange hashpartitioning") :]  # what is above the first shuffle is done after it
         assert "collect_" not in shuffled and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_crossing_edges_are_shuffled_by_their_ends_alone(spark):
+    g = people(spark, [("a", "KNOWS", "b"), ("b", "KNOWS", "c"), ("c", "KNOWS", "d"), ("a", "MENTIONED_IN", "d"), ("a", "KNOWS", "d"), ("z", "KNOWS", "a")])
+    c = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y"), ("z", "y")], "entity_id string, community string")
+    assert {(r.id, r.community, *r.others, r.cross_edges) for r in communities.bridges(g, c).collect()} == {("b", "x", "y", 1), ("c", "y", "x", 1), ("a", "x", "y", 1), ("d", "y", "x", 1)}
+    assert [tuple(r) for r in communities.community_connections(g, c).collect()] == [("x", "y", 2, 4)]
+    assert communities._crossing(g, c).columns == ["src", "dst", "cu", "cv"]  # edge keys stay behind
