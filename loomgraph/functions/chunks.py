@@ -13,6 +13,8 @@ from ..schemas import CHUNKS
 
 CHUNK_SIZE = 10_000
 OVERLAP = 0.1
+#: Texts that a task has as Python objects at once.
+SLICE = 64
 _END = re.compile(r"\n\n|[.!?]\s+|\n(?=[A-Z])")
 
 
@@ -50,13 +52,14 @@ def chunked(docs: DataFrame, size: int = CHUNK_SIZE, overlap: float = OVERLAP) -
     """``CHUNKS`` rows of (doc_id, text); a null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        kinds = [pa.string(), pa.string(), *[pa.int32()] * 4]
+        # a batch has thousands of texts: a few at a time are Python's, with their chunks
+        for part in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if text is not None:
                     spans = chunk_spans(text, size, overlap)
                     rows += [(doc, text[a:e], a, e, i, len(spans)) for i, (a, e) in enumerate(spans)]
-            kinds = [pa.string(), pa.string(), *[pa.int32()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["doc_id", "text", "start_char", "end_char", "chunk_index", "total_chunks"])
 
     return docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(run, CHUNKS)

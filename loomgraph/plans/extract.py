@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.chunks import CHUNK_SIZE, chunked
 from ..operators.aggregate import deduplicated_mentions, in_order
@@ -14,26 +16,31 @@ from ..schemas import ENTITY, RELATION
 from ..sources.domains import Domain
 from ..sources.providers import Provider, Rules, extraction_prompt, read_answer
 
+#: Chunks that a task has as Python objects at once.
+SLICE = 32
 _FOUND = f"doc_id string, chunk_index int, total_chunks int, entities array<{ENTITY}>, relations array<{RELATION}>, failed boolean"
 
 
 def found_in_chunks(chunks: DataFrame, domain: Domain, make: Callable[[], Provider] = Rules) -> DataFrame:
     """What the provider finds in each chunk; a chunk on which it fails has nothing. ``make`` runs in each task."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
         for b in batches:
-            rows = []
-            for doc, text, i, n in zip(b["doc_id"], b["text"], b["chunk_index"], b["total_chunks"]):
-                try:
-                    entities, relations = read_answer(provider.answer(extraction_prompt(text, domain)))
-                    failed = False
-                except Exception:  # noqa: BLE001 - one chunk must not end the job
-                    entities, relations, failed = [], [], True
-                rows.append((doc, i, n, [_entity(e) for e in entities], [_relation(r) for r in relations], failed))
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "total_chunks", "entities", "relations", "failed"])
-
-    return chunks.select("doc_id", "text", "chunk_index", "total_chunks").mapInPandas(run, _FOUND)
+            # a batch has thousands of chunks: a few at a time are Python's, with what is found in them
+            for part in (b.slice(at, SLICE) for at in range(0, b.num_rows, SLICE)):
+                rows = []
+                for doc, text, i, n in zip(*(c.to_pylist() for c in part.columns)):
+                    try:
+                        entities, relations = read_answer(provider.answer(extraction_prompt(text, domain)))
+                        failed = False
+                    except Exception:  # noqa: BLE001 - one chunk must not end the job
+                        entities, relations, failed = [], [], True
+                    rows.append({"doc_id": doc, "chunk_index": i, "total_chunks": n, "entities": [_entity(e) for e in entities], "relations": [_relation(r) for r in relations], "failed": failed})
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    kinds = to_arrow_schema(StructType.fromDDL(_FOUND))
+    return chunks.select("doc_id", "text", "chunk_index", "total_chunks").mapInArrow(run, _FOUND)
 
 
 def _entity(e: tuple) -> dict:

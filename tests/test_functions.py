@@ -118,3 +118,30 @@ def test_retries_and_limits():
     for _ in range(3):
         limiter.wait()
     assert slept == [60.0]
+
+
+def test_extraction_holds_a_few_texts_at_a_time(spark):
+    import pyarrow as pa
+
+    from loomgraph.functions import chunks
+    from loomgraph.plans import extract
+    from loomgraph.sources.domains import bundled
+
+    class Frame:  # what a task is given and gives, without Spark
+        columns = ("doc_id",)
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    texts = ["In spring Alice Smith met Bob Jones. " * 40] * 1000
+    docs = pa.RecordBatch.from_pydict({"doc_id": [str(i) for i in range(1000)], "text": texts})
+    cut = list(chunks.chunked(Frame(), 500)(iter([docs])))
+    assert len({i for b in cut for i in b.column(0).to_pylist()}) == 1000 and max(b.num_rows for b in cut) < 1000
+    whole = pa.Table.from_batches(cut).select(["doc_id", "text", "chunk_index", "total_chunks"]).combine_chunks().to_batches()
+    found = list(extract.found_in_chunks(Frame(), bundled("general"))(iter(whole)))
+    assert sum(b.num_rows for b in found) == sum(b.num_rows for b in whole) and max(b.num_rows for b in found) <= 32
+    first = found[0].to_pylist()[0]
+    assert {e["name"] for e in first["entities"]} >= {"Alice Smith", "Bob Jones"} and first["relations"] and not first["failed"]
